@@ -1,0 +1 @@
+"""Left empty on purpose: the comparison engine has no streaming operator to offer."""
