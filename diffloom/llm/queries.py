@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from diffloom.llm import licences, mixing, packing, secrets, warc
+from diffloom.llm import licences, mixing, neighbours, packing, secrets, topk, warc
 from diffloom.llm.common import read
 
 
@@ -14,6 +15,10 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_quantised(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -26,12 +31,27 @@ def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages"))
 
 
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licence_scan, op3_secret_scan, op6_window_packing, op7_warc_dictionary, op10_source_mix)
+    f.__name__: f for f in (
+        op1_licence_scan,
+        op2_threshold_topk,
+        op3_secret_scan,
+        op6_window_packing,
+        op7_warc_dictionary,
+        op8_projection_forest,
+        op10_source_mix,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_licence_scan": licences.scan_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_licence_scan": licences.scan_sql(),
+    "op2_threshold_topk": topk.search_sql(),
+}
