@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffloom.llm import licences, mixing, neighbours, packing, secrets, topk, warc
+from diffloom.llm import licences, mixing, neighbours, packing, quality, secrets, topk, warc
 from diffloom.llm.common import read
 
 
@@ -23,6 +23,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"))
+
+
 def op6_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_licence_scan,
         op2_threshold_topk,
         op3_secret_scan,
+        op5_weak_label_quality,
         op6_window_packing,
         op7_warc_dictionary,
         op8_projection_forest,
