@@ -29,7 +29,7 @@ LARGEST, SMALLEST = 2**63 - 1, -(2**63)
 
 
 class Block:
-    """Candidates with their sorted lists. Scores are exact: in doubles while these hold all sums, else in Python's integers."""
+    """Candidates with their sorted lists. Scores are exact: in floats while these hold all sums, else in Python's integers."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
@@ -37,22 +37,23 @@ class Block:
         self.order = np.argsort(self.x, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.x, self.order, axis=0)
         self.largest = int(np.abs(self.x.astype(object)).max(initial=0))
-        self.doubles = self.x.astype(np.float64)
+        self.doubles, self.singles = self.x.astype(np.float64), self.x.astype(np.float32)
 
     def top(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, list[int], int]:
         """Ids and scores of the k best, best first, ties to smaller ids; and how many candidates were scored."""
-        small = len(q) * self.largest * int(np.abs(q.astype(object)).max(initial=0)) < 2**53
-        q = q.astype(np.float64) if small else q.astype(object)
-        rows, values = (self.doubles, self.sorted) if small else (self.x.astype(object), self.sorted.astype(object))
+        most = len(q) * self.largest * int(np.abs(q.astype(object)).max(initial=0))
+        small = most < 2**53
+        q = q.astype(np.float32 if most < 2**24 else np.float64) if small else q.astype(object)
+        rows, values = (self.x.astype(object), self.sorted.astype(object)) if not small else (self.singles if most < 2**24 else self.doubles, self.sorted)
         n, used = len(self.ids), np.flatnonzero(q != 0)
         down = used[(q > 0)[used]]
         up = used[(q < 0)[used]]
-        new = np.zeros(n, bool)
-        done = self.ids == own
+        new, done = np.zeros(n, bool), self.ids == own
+        others = n - int(done.sum())
         scores = np.full(n, -np.inf) if small else np.full(n, None, object)
-        seen: list[np.ndarray] = []
+        every, seen = np.zeros(0, np.int64), []
         depth, step = 0, max(4, k)
-        while depth < n:
+        while len(every) < others:
             upto = min(n, depth + step) if len(used) else n
             if len(used):
                 new[self.order[n - upto : n - depth, down]] = True
@@ -60,19 +61,21 @@ class Block:
             else:
                 new[:] = True
             at = np.flatnonzero(new & ~done)
-            scores[at] = rows[at] @ q
+            scores[at] = rows[at] @ q if 4 * len(at) < n else (rows @ q)[at]
             done[at] = True
-            seen.append(at)
             new[:] = False
-            depth, step = upto, step * 2
+            seen.append(at)
             every = np.concatenate(seen)
-            if len(every) >= k:
-                bound = values[n - depth, down] @ q[down] + values[depth - 1, up] @ q[up] if len(used) else 0
+            depth, step = upto, step * 3
+            if k <= len(every) < others:
+                bound = values[n - depth, down] @ q[down] + values[depth - 1, up] @ q[up]
                 if bound < self._kth(scores[every], k):
                     break
-        every = np.sort(np.concatenate(seen)) if seen else np.zeros(0, int)
+        every = np.sort(every)
+        if len(every) > 4 * k and small:  # the k best and their ties
+            every = every[scores[every] >= self._kth(scores[every], k)]
         best = every[np.argsort(-scores[every], kind="stable")[:k]]
-        return self.ids[best], [min(LARGEST, max(SMALLEST, int(s))) for s in scores[best]], len(every)
+        return self.ids[best], [min(LARGEST, max(SMALLEST, int(s))) for s in scores[best]], sum(map(len, seen))
 
     @staticmethod
     def _kth(scores: np.ndarray, k: int):
@@ -84,7 +87,7 @@ def quantised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.floor(F.lit(64.0) * x.cast("double")))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, block_rows: int = 2_048) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, block_rows: int = 4_096) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which `queries` holds, the k other rows of the largest inner products.
 
     vectors: (vec_id, embedding of integers). Vectors that are null or hold
