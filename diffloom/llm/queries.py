@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffloom.llm import licences, mixing, neighbours, packing, quality, secrets, topk, warc
+from diffloom.llm import licences, mixing, neardup, neighbours, packing, quality, secrets, topk, warc
 from diffloom.llm.common import read
 
 
@@ -39,6 +39,10 @@ def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_window_packing,
         op7_warc_dictionary,
         op8_projection_forest,
+        op9_minmax_near_duplicates,
         op10_source_mix,
     )
 }
