@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffloom.llm import licences, mixing, neardup, neighbours, packing, quality, secrets, topk, warc
+from diffloom.llm import licences, mixing, neardup, neighbours, packing, quality, secrets, surrogates, topk, warc
 from diffloom.llm.common import read
 
 
@@ -23,6 +23,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+#: A key for the tables here; whoever publishes a corpus passes one of their own and keeps it secret.
+SURROGATE_KEY = b"diffloom test tables"
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(read(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"))
 
@@ -52,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_licence_scan,
         op2_threshold_topk,
         op3_secret_scan,
+        op4_pii_surrogates,
         op5_weak_label_quality,
         op6_window_packing,
         op7_warc_dictionary,
