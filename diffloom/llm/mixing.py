@@ -148,3 +148,9 @@ def _end_bin(bins: DataFrame, name: str, base: Column) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """mix() of a documents table: words as sizes, share of letters as quality."""
     return mix(docs, n_words(F.col("text")), letter_share(F.col("text")), **options)
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix, with all columns of docs: each as often as the mix takes it."""
+    mixed = mix_documents(docs, keep=docs.columns, **options).where("copies > 0")
+    return mixed.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)

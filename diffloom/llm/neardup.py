@@ -37,7 +37,7 @@ def digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def signatures(docs: DataFrame, width: int, hashing: MinMax) -> DataFrame:
+def signatures(docs: DataFrame, width: int, hashing: MinMax, row: str | None = None) -> DataFrame:
     """doc_id, row (unique), n (shingles), digest (of the set) and keys (of the bands) per row; without shingles the last two are null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -53,7 +53,7 @@ def signatures(docs: DataFrame, width: int, hashing: MinMax) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "row", "n", "digest", "keys"])
 
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    rows = docs.select("doc_id", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, row long, n long, digest binary, keys array<long>")
 
 
@@ -176,18 +176,18 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFr
     return inside.unionByName(materialise(across, "links-across"))
 
 
-def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | None = None) -> DataFrame:
+def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | None = None, row: str | None = None) -> DataFrame:
     """doc_id, row, n_shingles, component_id, kept, first: a row per row of docs.
 
     Two texts are linked if the intersection of their shingle sets is at least
     `percent` of the union; component_id is the smallest doc_id reachable, kept
-    tells whether it is the document's own. row numbers the rows of docs, and
-    first marks one row per component, also where ids repeat. Null and empty
+    tells whether it is the document's own. row numbers the rows of docs, by the
+    unique column of that name if one is given, and first marks one row per component, also where ids repeat. Null and empty
     texts and texts of white space have no shingles and no links. Equal texts
     are one class, however many. Null ids never are the smallest unless all in
     a component are null. Other columns are ignored; no rows, no result.
     """
-    signed = materialise(signatures(docs, width, hashing or MinMax()), "signatures")
+    signed = materialise(signatures(docs, width, hashing or MinMax(), row), "signatures")
     full = signed.where("digest is not null")
     classes = full.groupBy("digest").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best"))
     classes = materialise(classes, "classes")
@@ -209,3 +209,11 @@ def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | N
         F.col("doc_id").eqNullSafe(component).alias("kept"),
         (alone | (F.col("of_all.row") == F.col("row"))).alias("first"),
     )
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs without near-duplicates: of each component one row, that of the smallest doc_id, with all columns."""
+    numbered = materialise(docs.withColumn("row_", F.monotonically_increasing_id()), "numbered")
+    found = find(numbered, row="row_", **options)
+    dropped = materialise(found.where(~F.col("first")).select(F.col("row").alias("row_")), "dropped")
+    return numbered.join(dropped, "row_", "left_anti").select(*docs.columns)
