@@ -16,10 +16,10 @@ SEED = 20_240_601
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered for up to a million of them."""
+    """64-bit hashes of words, remembered for up to 2 ** 17 of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= 1 << 17:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
         return value

@@ -14,6 +14,9 @@
    compared with the other blocks, so a large family of copies costs little
    more than its strays.
 5. Components of all links, and their smallest document.
+
+Tables that grow with the corpus are joined by merge joins at every size: none
+of them has a bound that would allow to broadcast it.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import materialise
+from diffloom.llm.common import materialise, small_batches
 from diffloom.llm.components import components
 from diffloom.llm.minmax import MinMax, WordHashes, shingles
 
@@ -68,7 +71,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([made[i].tobytes() for i in own], pa.binary())], ["node", "items"])
 
     needed = needed.withColumnRenamed("doc_id", "needed_id")
-    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("needed_id")))
+    texts = docs.select("doc_id", "text").join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("needed_id")))
     return texts.select("node", "digest", "text").mapInArrow(run, "node long, items binary")
 
 
@@ -136,15 +139,24 @@ def groups_of(nodes: DataFrame) -> DataFrame:
     """(leader, node) of all buckets with two nodes or more. nodes: (node, keys)."""
     rows = nodes.select("node", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(buckets, "key").select("leader", "node").where("leader <> node").distinct()
+    return rows.join(buckets.hint("merge"), "key").select("leader", "node").where("leader <> node").distinct()
+
+
+def possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """pairs without groups of two whose sizes alone rule out a link."""
+    pairs = materialise(pairs, "candidates")
+    few = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.max("node").alias("node")).where("members = 1")
+    few = few.join(sizes, "node").join(sizes.select(F.col("node").alias("leader"), F.col("n").alias("m")), "leader")
+    never = few.where(100 * F.least("n", "m") < percent * F.greatest("n", "m")).select("leader")
+    return pairs.join(never, "leader", "left_anti")
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFrame:
     """(a, b): enough links between nodes to give the components of all. nodes: (node, doc_id, digest, n, keys)."""
-    pairs = materialise(groups_of(nodes), "groups")
+    pairs = materialise(possible(groups_of(nodes), nodes.select("node", "n"), percent), "groups")
     led = pairs.select("leader").distinct()
     members = pairs.unionByName(led.select("leader", F.col("leader").alias("node")))
-    about = nodes.select("node", "doc_id", "digest", "n").join(members.select("node").distinct(), "node")
+    about = nodes.select("node", "doc_id", "digest", "n").join(members.select("node").distinct().hint("merge"), "node")
     about = materialise(about, "group-nodes")
     sets = materialise(sets_of(docs, about.select("node", "doc_id", "digest"), width), "sets")
 
@@ -154,7 +166,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFr
     )
     dealt = materialise(members.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "blocks")
     edge = "a long, b long"
-    inside = dealt.join(sets, "node").groupBy("leader", "block").applyInArrow(lambda t: resolve_block(t, percent), edge)
+    inside = dealt.join(sets.hint("merge"), "node").groupBy("leader", "block").applyInArrow(lambda t: resolve_block(t, percent), edge)
     inside = materialise(inside.where("a is not null"), "links-inside")
 
     wide = dealt.where("blocks > 1")
@@ -163,7 +175,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFr
     roots = components(inside)
     wide = materialise(wide.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "wide-groups")
     largest = wide.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    strays = wide.join(largest, "leader").where("root <> main")
+    strays = materialise(wide.join(largest, "leader").where("root <> main"), "strays")
     chunks = strays.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_NODES)).cast("long").alias("chunks"))
     asking = strays.join(chunks, "leader").select(
         "leader", "node", "root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("chunk"), F.col("block").alias("own"),
@@ -172,7 +184,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFr
     asked = wide.join(chunks, "leader").select(
         "leader", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "block"
     ).withColumn("asks", F.lit(False))
-    across = asking.unionByName(asked).join(sets, "node").groupBy("leader", "block", "chunk").applyInArrow(lambda t: resolve_between(t, percent), edge)
+    across = asking.unionByName(asked).join(sets.hint("merge"), "node").groupBy("leader", "block", "chunk").applyInArrow(lambda t: resolve_between(t, percent), edge)
     return inside.unionByName(materialise(across, "links-across"))
 
 
@@ -187,18 +199,19 @@ def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | N
     are one class, however many. Null ids never are the smallest unless all in
     a component are null. Other columns are ignored; no rows, no result.
     """
+    small_batches(docs.sparkSession)
     signed = materialise(signatures(docs, width, hashing or MinMax(), row), "signatures")
     full = signed.where("digest is not null")
     classes = full.groupBy("digest").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best"))
     classes = materialise(classes, "classes")
     # the node's own row carries its keys and its id
-    nodes = materialise(full.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "digest", "n", "keys"), "nodes")
+    nodes = materialise(full.join(classes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "digest", "n", "keys"), "nodes")
     roots = components(links(docs, nodes, percent, width))
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     joined = materialise(joined, "class-roots")
     best = joined.groupBy("root").agg(F.min("best").alias("of_all"))
     found = materialise(joined.join(best, "root").select(F.col("digest").alias("d"), "of_all"), "class-components")
-    out = signed.join(found, F.col("digest") == F.col("d"), "left")
+    out = signed.join(found.hint("merge"), F.col("digest") == F.col("d"), "left")
     alone = F.col("of_all").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("of_all.doc_id"))
     return out.select(
