@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from diffloom.llm.common import small_batches
+
 BUCKETS = 1 << 14
 #: Frequent function words of the languages expected.
 FUNCTION_WORDS = frozenset(
@@ -239,6 +241,7 @@ class QualityModel:
         threshold: texts that score less are rejected. It is below one half so
         that doubtful texts stay.
         """
+        small_batches(docs.sparkSession)
         code = T.StructType([T.StructField("code", T.LongType()), T.StructField("h", T.LongType())])
 
         def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

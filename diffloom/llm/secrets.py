@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from diffloom.llm.automaton import Dfa, Parser, reverse, trimmed
+from diffloom.llm.common import small_batches
 
 
 @dataclass(frozen=True)
@@ -172,6 +173,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()] * 2, strict=True)] if rows else [pa.array([], t) for t in [pa.int64()] * 3 + [pa.string()] * 2]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(n for n, _ in SCAN_FIELDS)])
 
+    small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -199,6 +201,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
                 columns[n] = pa.array(lengths, columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import materialise, scratch_path
+from diffloom.llm.common import materialise, scratch_path, small_batches
 
 DICT_MAGIC = 0x184D2A5D  # fixed value: the skippable frame of an archive's dictionary
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
@@ -109,6 +109,7 @@ def write(pages: DataFrame, path: str, level: int = 6) -> None:
     payload moves if repeated digests are few enough to be broadcast.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    small_batches(pages.sparkSession)
     content = train_dictionary(pages)
     firsts = materialise(revisits(pages), "warc-first")
     rows = pages.withColumn("digest", F.sha2("html", 256)).join(firsts, "digest", "left")
