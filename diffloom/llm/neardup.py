@@ -164,6 +164,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFr
     blocks = sized.groupBy("leader").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks")
     )
+    blocks = materialise(blocks, "block-counts")  # a join of two plain shuffles can be split where a leader is hot
     dealt = materialise(members.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "blocks")
     edge = "a long, b long"
     inside = dealt.join(sets.hint("merge"), "node").groupBy("leader", "block").applyInArrow(lambda t: resolve_block(t, percent), edge)
@@ -175,8 +176,9 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFr
     roots = components(inside)
     wide = materialise(wide.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "wide-groups")
     largest = wide.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    strays = materialise(wide.join(largest, "leader").where("root <> main"), "strays")
+    strays = materialise(wide.join(materialise(largest, "largest"), "leader").where("root <> main"), "strays")
     chunks = strays.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_NODES)).cast("long").alias("chunks"))
+    chunks = materialise(chunks, "chunks")
     asking = strays.join(chunks, "leader").select(
         "leader", "node", "root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("chunk"), F.col("block").alias("own"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
