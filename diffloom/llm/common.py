@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Kept:
+    """Small intermediate tables, persisted while a with block lasts.
+
+    Their lineage stays, so a lost executor's part is computed again; what the
+    block returns must be written inside it.
+    """
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.frames:
+            self.frames.pop().unpersist()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

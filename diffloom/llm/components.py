@@ -21,10 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # here each a is larger than its b
-        large = materialise(large.where("a <> b").distinct(), "large-star")
+        large = large.where("a <> b").distinct()
         least = _least(large)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small-star")
+        now = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        now = materialise(now, "stars")
         was, state = state, _state(now)
         if was == state:
             break

@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    sizes = materialise(sizes.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")), "mix-sources")
+    sizes = materialise(sizes.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).coalesce(1), "mix-sources")  # a row per source
     budget = share * (sizes.agg(F.sum("source_size")).first()[0] or 0)
     level, stopped = 0.0, -1
     while True:
@@ -100,13 +100,13 @@ def mix(
 
     keyed = _with_source(slim, plan).withColumn("place", place).withColumn("fine", at).withColumn("coarse", F.floor(F.col("fine") / BINS))
     first = _end_bin(keyed.groupBy("source", "left", "coarse").agg(F.sum("size").alias("n")), "coarse", F.lit(0).cast("long"))
-    first = materialise(first.select("source", F.col("bin").alias("coarse_end"), F.col("before").alias("coarse_before")), "mix-coarse")
+    first = materialise(first.select("source", F.col("bin").alias("coarse_end"), F.col("before").alias("coarse_before")).coalesce(1), "mix-coarse")
     keyed = _with_source(keyed, first)
     inside = keyed.where(F.col("coarse") == F.col("coarse_end"))
     second = _end_bin(
         inside.groupBy("source", "left", "fine").agg(F.sum("size").alias("n"), F.first("coarse_before").alias("base")), "fine", F.col("base")
     )
-    second = materialise(second.select("source", F.col("bin").alias("fine_end"), F.col("before").alias("fine_before")), "mix-fine")
+    second = materialise(second.select("source", F.col("bin").alias("fine_end"), F.col("before").alias("fine_before")).coalesce(1), "mix-fine")
     keyed = _with_source(keyed, second)
 
     out = [F.col(a).alias(c) for c, a in clash.items()]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import materialise, small_batches
+from diffloom.llm.common import Kept, materialise, small_batches
 from diffloom.llm.components import components
 from diffloom.llm.minmax import MinMax, WordHashes, shingles
 
@@ -144,41 +144,40 @@ def groups_of(nodes: DataFrame) -> DataFrame:
 
 def possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """pairs without groups of two whose sizes alone rule out a link."""
-    pairs = materialise(pairs, "candidates")
     few = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.max("node").alias("node")).where("members = 1")
     few = few.join(sizes, "node").join(sizes.select(F.col("node").alias("leader"), F.col("n").alias("m")), "leader")
     never = few.where(100 * F.least("n", "m") < percent * F.greatest("n", "m")).select("leader")
     return pairs.join(never, "leader", "left_anti")
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, keep: Kept) -> DataFrame:
     """(a, b): enough links between nodes to give the components of all. nodes: (node, doc_id, digest, n, keys)."""
-    pairs = materialise(possible(groups_of(nodes), nodes.select("node", "n"), percent), "groups")
+    pairs = materialise(possible(keep(groups_of(nodes)), nodes.select("node", "n"), percent), "groups")
     led = pairs.select("leader").distinct()
     members = pairs.unionByName(led.select("leader", F.col("leader").alias("node")))
     about = nodes.select("node", "doc_id", "digest", "n").join(members.select("node").distinct().hint("merge"), "node")
-    about = materialise(about, "group-nodes")
+    about = keep(about)
     sets = materialise(sets_of(docs, about.select("node", "doc_id", "digest"), width), "sets")
 
     sized = members.join(about.select("node", "n"), "node")
     blocks = sized.groupBy("leader").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks")
     )
-    blocks = materialise(blocks, "block-counts")  # a join of two plain shuffles can be split where a leader is hot
+    blocks = keep(blocks)  # a join of two plain shuffles can be split where a leader is hot
     dealt = materialise(members.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "blocks")
     edge = "a long, b long"
     inside = dealt.join(sets.hint("merge"), "node").groupBy("leader", "block").applyInArrow(lambda t: resolve_block(t, percent), edge)
-    inside = materialise(inside.where("a is not null"), "links-inside")
+    inside = keep(inside.where("a is not null"))
 
     wide = dealt.where("blocks > 1")
     if wide.isEmpty():
         return inside
     roots = components(inside)
-    wide = materialise(wide.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "wide-groups")
+    wide = keep(wide.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     largest = wide.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    strays = materialise(wide.join(materialise(largest, "largest"), "leader").where("root <> main"), "strays")
+    strays = keep(wide.join(keep(largest), "leader").where("root <> main"))
     chunks = strays.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_NODES)).cast("long").alias("chunks"))
-    chunks = materialise(chunks, "chunks")
+    chunks = keep(chunks)
     asking = strays.join(chunks, "leader").select(
         "leader", "node", "root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("chunk"), F.col("block").alias("own"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
@@ -187,7 +186,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFr
         "leader", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "block"
     ).withColumn("asks", F.lit(False))
     across = asking.unionByName(asked).join(sets.hint("merge"), "node").groupBy("leader", "block", "chunk").applyInArrow(lambda t: resolve_between(t, percent), edge)
-    return inside.unionByName(materialise(across, "links-across"))
+    return inside.unionByName(keep(across))
 
 
 def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | None = None, row: str | None = None) -> DataFrame:
@@ -205,14 +204,15 @@ def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | N
     signed = materialise(signatures(docs, width, hashing or MinMax(), row), "signatures")
     full = signed.where("digest is not null")
     classes = full.groupBy("digest").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best"))
-    classes = materialise(classes, "classes")
-    # the node's own row carries its keys and its id
-    nodes = materialise(full.join(classes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "digest", "n", "keys"), "nodes")
-    roots = components(links(docs, nodes, percent, width))
-    joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    joined = materialise(joined, "class-roots")
-    best = joined.groupBy("root").agg(F.min("best").alias("of_all"))
-    found = materialise(joined.join(best, "root").select(F.col("digest").alias("d"), "of_all"), "class-components")
+    with Kept() as keep:
+        classes = keep(classes)
+        # the node's own row carries its keys and its id
+        own = classes.select(F.col("node").alias("row")).hint("merge")
+        nodes = materialise(full.join(own, "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "digest", "n", "keys"), "nodes")
+        roots = components(links(docs, nodes, percent, width, keep))
+        joined = keep(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        best = joined.groupBy("root").agg(F.min("best").alias("of_all"))
+        found = materialise(joined.join(best, "root").select(F.col("digest").alias("d"), "of_all"), "class-components")
     out = signed.join(found.hint("merge"), F.col("digest") == F.col("d"), "left")
     alone = F.col("of_all").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("of_all.doc_id"))

@@ -249,7 +249,7 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
         json_path, ranks_path = default_paths()
     small_batches(docs.sparkSession)
     cut = materialise(pieces(docs, json_path, ranks_path, window), "pieces")
-    tally = materialise(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    tally = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(window + 1, np.int64)
     for row in tally.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row per length at most
         counts[row["length"]] = row["n"]

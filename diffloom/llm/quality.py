@@ -206,17 +206,14 @@ class Scorer:
     bias: float
 
     @classmethod
-    def fit(cls, texts: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, rounds: int = 60, rate: float = 30.0, decay: float = 1e-5) -> Scorer:
-        """Logistic regression on soft labels by full gradients with momentum."""
+    def fit(cls, rows: np.ndarray, at: np.ndarray, values: np.ndarray, good: np.ndarray, rounds: int = 60, rate: float = 30.0, decay: float = 1e-5) -> Scorer:
+        """Logistic regression on soft labels by full gradients with momentum. Entry k says that text rows[k] has values[k] in bucket at[k]."""
         self = cls(np.zeros(BUCKETS), 0.0)
-        if not texts:
-            return self
-        rows = np.repeat(np.arange(len(texts)), [len(t[0]) for t in texts])
-        at, values = (np.concatenate(x) for x in zip(*texts, strict=True))
+        n = len(good)
         speed, speed_b = np.zeros(BUCKETS), 0.0
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-(np.bincount(rows, values * self.weights[at], len(texts)) + self.bias)))
-            slope = (p - good) / len(texts)
+        for _ in range(rounds if n else 0):
+            p = 1 / (1 + np.exp(-(np.bincount(rows, values * self.weights[at], n) + self.bias)))
+            slope = (p - good) / n
             speed = 0.9 * speed - rate * (np.bincount(at, values * slope[rows], BUCKETS) + decay * self.weights)
             speed_b = 0.9 * speed_b - 0.1 * rate * float(slope.sum())
             self.weights += speed
@@ -268,9 +265,12 @@ class QualityModel:
 
         # equal texts count once and the hash decides the order: the sample does not depend on how rows are dealt
         chosen = keyed.where(F.col("h") < upto).groupBy(F.xxhash64(text_col).alias("x")).agg(F.first(text_col).alias(text_col), F.first("h").alias("h"))
-        rows = chosen.select(text_col, "h").orderBy("h").limit(2 * sample_rows).mapInArrow(features, "good double, at array<int>, value array<float>").toArrow()
-        texts = [(np.array(a.values, np.int64), np.array(v.values, np.float64)) for a, v in zip(rows.column("at"), rows.column("value"), strict=True)]
-        return cls(labels, Scorer.fit(texts, np.array(rows.column("good"), float)), threshold)
+        made = chosen.select(text_col, "h").orderBy("h").limit(2 * sample_rows).mapInArrow(features, "good double, at array<int>, value array<float>").toArrow()
+        # flat arrays straight from Arrow: thousands of small ones would stay in the driver's memory
+        at, value = (made.column(c).combine_chunks() for c in ("at", "value"))
+        rows = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(at.offsets.to_numpy()) if len(at) else 0)
+        flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (at, value)]
+        return cls(labels, Scorer.fit(rows, *flat, np.array(made.column("good"), float)), threshold)
 
     def judge(self, text: str | None) -> tuple[float, bool]:
         """Score, and whether the text is kept. A text without words is not."""
