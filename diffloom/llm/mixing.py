@@ -152,5 +152,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix, with all columns of docs: each as often as the mix takes it."""
-    mixed = mix_documents(docs, keep=docs.columns, **options).where("copies > 0")
-    return mixed.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    # as one column, so that none of them can clash with a figure of the mix
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("all_"))
+    mixed = mix_documents(packed, keep=("all_",), **options).where("copies > 0")
+    return mixed.select("all_", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("all_.*")

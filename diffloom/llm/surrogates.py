@@ -40,6 +40,7 @@ SYLLABLES = {
     "GREEK": (("β", "γ", "δ", "θ", "κ", "λ", "μ", "ν", "π", "ρ", "σ", "τ"), ("αλ", "αν", "αρ", "ελ", "εν", "ιλ", "ορ"), {"male": ("ος", "ης", "ας"), "female": ("α", "η", "ία"), "family": ("ίδης", "άκης", "όπουλος")}),
 }
 DIGIT = re.compile(r"[0-9]")
+MOST_ROUNDS = 64
 RESERVED = "example"  # a label that no registry gives out
 
 _name = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:['’-][^\W\d_]+)?"
@@ -231,7 +232,8 @@ def attempts_of(entities: DataFrame, key: bytes) -> DataFrame:
 
     Of entities with one surrogate that of the fewest attempts keeps it, then
     the smallest canonical form. So who has a surrogate keeps it in later
-    rounds, and each round only moves those without.
+    rounds, and each round only moves those without. Fails if a format has too
+    few values for the entities of its kind.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +243,7 @@ def attempts_of(entities: DataFrame, key: bytes) -> DataFrame:
 
     now = materialise(entities.select("kind", "canon", F.lit(0).alias("attempt")), "entities")
     real = now.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real"))
-    while True:
+    for _ in range(MOST_ROUNDS):
         made = materialise(now.mapInArrow(make, "kind string, canon string, attempt int, made string"), "surrogates")
         first = made.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon")).alias("owner"), F.count(F.lit(1)).alias("n"))
         judged = made.join(first.where("n > 1"), ["kind", "made"], "left").join(real, ["kind", "made"], "left")
@@ -250,6 +252,7 @@ def attempts_of(entities: DataFrame, key: bytes) -> DataFrame:
         if judged.where("lost").isEmpty():
             return judged.where("attempt > 0").select("kind", "canon", "attempt")
         now = judged.select("kind", "canon", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
+    raise ValueError(f"after {MOST_ROUNDS} attempts entities are without a surrogate of their own: a kind has about as many entities as its format has values")
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
