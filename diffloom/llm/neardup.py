@@ -164,7 +164,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, keep: Kep
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks")
     )
     blocks = keep(blocks)  # a join of two plain shuffles can be split where a leader is hot
-    dealt = materialise(members.join(blocks, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "blocks")
+    dealt = materialise(members.join(blocks.hint("merge"), "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "blocks")
     edge = "a long, b long"
     inside = dealt.join(sets.hint("merge"), "node").groupBy("leader", "block").applyInArrow(lambda t: resolve_block(t, percent), edge)
     inside = keep(inside.where("a is not null"))
@@ -175,14 +175,14 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, keep: Kep
     roots = components(inside)
     wide = keep(wide.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     largest = wide.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    strays = keep(wide.join(keep(largest), "leader").where("root <> main"))
+    strays = keep(wide.join(keep(largest).hint("merge"), "leader").where("root <> main"))
     chunks = strays.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_NODES)).cast("long").alias("chunks"))
     chunks = keep(chunks)
-    asking = strays.join(chunks, "leader").select(
+    asking = strays.join(chunks.hint("merge"), "leader").select(
         "leader", "node", "root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("chunk"), F.col("block").alias("own"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
     ).where("block <> own").drop("own").withColumn("asks", F.lit(True))
-    asked = wide.join(chunks, "leader").select(
+    asked = wide.join(chunks.hint("merge"), "leader").select(
         "leader", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "block"
     ).withColumn("asks", F.lit(False))
     across = asking.unionByName(asked).join(sets.hint("merge"), "node").groupBy("leader", "block", "chunk").applyInArrow(lambda t: resolve_between(t, percent), edge)
