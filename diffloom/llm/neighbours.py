@@ -142,7 +142,9 @@ def search(
     rows = materialise(one_per_id(vectors, zero=False), "vectors")
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).first()
     n, width = facts["n"], facts["width"] or 1
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow().column(0).combine_chunks()
+    # a bound on the hash lets about twice the sample through, however many tasks there are
+    h = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+    some = rows.where(h < int((1 << 40) * min(1.0, 2 * sample_rows / max(1, n)))).orderBy(h, "vec_id").limit(sample_rows).select("embedding").toArrow().column(0).combine_chunks()
     sample = matrix(some, width) if len(some) else np.zeros((0, width))
     sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
     forest = Forest.fit(sample, trees, max(8, -(-len(sample) // leaves)))
