@@ -249,7 +249,7 @@ class Dfa:
         return cls(table, accepted)
 
     def linked(self, stop: bool = False) -> list[list]:
-        """The transition array as rows that hold their successors; row[256] is the set of rules.
+        """The transition array as rows that hold their successors; row[256] is the set of rules, row[257] whether nothing leaves the row.
 
         stop: accepting rows lead to themselves, so that a pass without any
         check on the way ends in a row that accepts if one was met.
@@ -257,7 +257,7 @@ class Dfa:
         rows: list[list] = [[] for _ in self.rules]
         for s, row in enumerate(rows):
             row += [row] * 256 if stop and self.rules[s] else [rows[t] for t in self.table[256 * s : 256 * s + 256]]
-            row.append(self.rules[s])
+            row += [self.rules[s], all(t is row for t in row)]
         return rows
 
 

@@ -12,7 +12,8 @@ patterns in which the match that ends first also starts first, as all below.
 
 The combined automaton only has to find where a first match ends, so the open
 repetitions at the patterns' ends are cut to their least count: else it would
-keep every combination of rules that are in such a run. Lengths are tested on
+keep every combination of rules that are in such a run. The same holds for the
+search and for the way back from the end it finds. Lengths are tested on
 the found spans, for counting would multiply states too. Only the hexadecimal
 rule counts, or every digit would hit.
 """
@@ -52,13 +53,19 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
 )
+# A key goes on to its END line, with anything but five dashes on the way. Without one it goes on over header fields and
+# runs of base64, however they are parted: quoted lines, written-out line ends, spaces. A last run may be short.
+_closed = r"([^-]|-{1,4}[^-])*-{5,}END [A-Z ]*PRIVATE KEY-----"
+_line = r"(\r?\n|(\\r)?\\n)"
+_gap = r"([\x20\t\r\n\x22'>#*|,-]|\\[rn])"
+_open = rf"({_gap}+[A-Z][A-Za-z-]+:\x20[^\n\\-]*(-[^\n\\-]+)*)*({_gap}+[A-Za-z0-9+/=]{{16,}})+({_line}{_gap}*[A-Za-z0-9+/=]+|[\x20\t]+[A-Za-z0-9+/]*=+)?"
 MORE_RULES = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 40),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("stripe", r"[rs]k_(live|test)_[A-Za-z0-9]+", 24),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27),
+    Rule("pem", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----({_closed}|{_open})?", 27),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -80,7 +87,7 @@ class Scanner:
     @cached_property
     def _rows(self) -> tuple:
         one = lambda tree, search: Dfa.of([tree], search).linked()[0]
-        single = [(one(t, True), one(reverse(t), False), one(t, False), re.compile(r.value.encode()) if r.value else None) for r, t in zip(self.rules, self._trees, strict=True)]
+        single = [(one(trimmed(t), True), one(reverse(trimmed(t)), False), one(t, False), re.compile(r.value.encode()) if r.value else None) for r, t in zip(self.rules, self._trees, strict=True)]
         return self.combined.linked(stop=True)[0], self.combined.linked()[0], single
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
@@ -112,14 +119,14 @@ class Scanner:
                 row = row[data[i]]
                 if row[256]:
                     start = i
-                elif row is row[0] and row is row[data[i]]:  # a state that nothing leaves
+                elif row[257]:
                     break
             row, end = ahead, hit
             for i in range(start, len(data)):
                 row = row[data[i]]
                 if row[256]:
                     end = i + 1
-                elif row is row[0] and row is row[data[i]]:
+                elif row[257]:
                     break
             if rule.value is None:
                 size = end - start

@@ -66,3 +66,34 @@ def test_long_runs_take_linear_time():
     scanner = secrets.Scanner()
     assert scanner.spans("f" * 300_000) == [(0, 300_000, 2)]
     assert len(scanner.spans("token:" * 20_000)) <= 20_000
+
+
+BODY = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3+" * 12] * 3 + ["x9/Q=="])
+
+
+def test_private_keys_are_found_whole(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0123456789ABCDEF\n\n"
+    keys = [f"{begin}\n{BODY}\n{end}", f"{begin}\r\n{BODY}\r\n{end}".replace("\nM", "\r\nM"), f"{begin}\n{fields}{BODY}\n{end}", f"{begin} {BODY} {end}".replace("\n", " ")]
+    keys += [f"{begin}\\n{BODY}\\n{end}".replace("\n", "\\n"), f"{begin}\n> {BODY}\n> {end}".replace("\nM", "\n> M"), f"{begin}\n-{BODY}\n-{end}".replace("\nM", "\n-M")]
+    keys += [f"{begin}\n{BODY}", f"{begin}\n{fields}{BODY}", f"{begin} {BODY}".replace("\n", " "), f"{begin}\\n{BODY}".replace("\n", "\\n"), begin]
+    scanner = secrets.Scanner()
+    pem = len(secrets.RULES) - 1
+    for key in keys:
+        text = f"é {key}\n; clean words follow {key}. End"
+        spans = [x for x in scanner.spans(text) if x[2] == pem]
+        assert [text[s:e] for s, e, _ in spans] == [key, key], key
+        before = scanner.spans(text)
+        assert [x for x in before if x[2] < len(secrets.BASE_RULES)] == secrets.Scanner(secrets.BASE_RULES).spans(text)
+    df = spark.createDataFrame([(i, f"é {k}\n; after", "en", "s", 9) for i, k in enumerate(keys)], SCHEMA)
+    assert {r["text"] for r in secrets.redact(df).collect()} == {"é [pem]\n; after"}
+    found = {r["doc_id"]: r["spans"].split(",") for r in secrets.scan(df).collect()}
+    assert all(f"pem:2:{2 + len(k)}" in found[i] for i, k in enumerate(keys))
+
+
+def test_a_key_without_end_takes_no_other_text():
+    scanner, begin = secrets.Scanner(), "-----BEGIN PRIVATE KEY-----"
+    for text in (f"{begin} opens a key", f"{begin}\nopens a key", f"{begin} and\n-----BEGIN CERTIFICATE-----\n{BODY}\n-----END CERTIFICATE-----"):
+        assert [x[:2] for x in scanner.spans(text) if x[2] == len(secrets.RULES) - 1] == [(0, len(begin))], text
+    many = f"{begin} x " * 5_000
+    assert len(scanner.spans(many)) == 5_000
