@@ -18,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +45,11 @@ DIGIT = re.compile(r"[0-9]")
 MOST_ROUNDS = 64
 RESERVED = "example"  # a label that no registry gives out
 
-_name = r"[^\W\d_a-zа-яα-ω][^\W\d_]+(?:['’-][^\W\d_]+)?"
+# \w leaves out the marks that many scripts write their vowels with
+_marks = "".join(c for c in map(chr, range(0x300, 0xFE30)) if unicodedata.category(c) in ("Mn", "Mc"))
+_letter = rf"(?:[^\W\d_]|[{_marks}])"
+_name = rf"[^\W\d_a-zа-яα-ω](?:{_letter}+(?:['’-]{_letter}+)?|['’-]{_letter}+)"
+WORD = re.compile(rf"(?<![\w{_marks}]){_letter}++(?!\w)")
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
@@ -89,14 +95,16 @@ def detect(text: str | None) -> list[Entity]:
                 found += _names(m)
             elif (canon := _canonical(kind, m.group())) is not None:
                 found.append(Entity(kind, canon, m.start(), m.end(), m.group()))
-    out: list[Entity] = []
+    found += _again(text, found)
     order = {kind: k for k, (kind, _) in enumerate(PATTERNS)}
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []
+    out: list[Entity] = []
     for e in sorted(found, key=lambda e: (order.get(e.kind, len(order)), e.start)):
-        if all(e.end <= a or b <= e.start for a, b in taken):
-            taken.append((e.start, e.end))
-            out.append(e)
-    return sorted(out, key=lambda e: e.start)
+        k = bisect(starts, e.start)
+        if (k == 0 or out[k - 1].end <= e.start) and (k == len(out) or e.end <= out[k].start):
+            starts.insert(k, e.start)
+            out.insert(k, e)
+    return out
 
 
 def _canonical(kind: str, text: str) -> str | None:
@@ -117,15 +125,48 @@ def _canonical(kind: str, text: str) -> str | None:
 
 def _names(m: re.Match) -> list[Entity]:
     """The words of a name by themselves, so that a family name means the same alone and behind a first name."""
-    words = [(w.group(), m.start(2) + w.start(), m.start(2) + w.end()) for w in re.finditer(r"\S+", m.group(2))]
+    words = [(re.sub(r"['’][sS]$", "", w.group()), m.start(2) + w.start()) for w in re.finditer(r"\S+", m.group(2))]
     roles = [GENDER[m.group(1)]] * (len(words) - 1) + ["family"]
     out = []
-    for (word, start, end), role in zip(words, roles, strict=True):
+    for (word, start), role in zip(words, roles, strict=True):
         script = unicodedata.name(word[0], "LATIN").split()[0]
-        out.append(Entity(f"name:{role}:{script if script in SYLLABLES else 'LATIN'}", word.lower(), start, end, word))
+        out.append(Entity(f"name:{role}:{script if script in SYLLABLES or letters(script) else 'LATIN'}", word.lower(), start, start + len(word), word))
     return out
 
 
+def _again(text: str, found: list[Entity]) -> list[Entity]:
+    """Mentions without a title of the words of titled names, as what the word was first."""
+    known: dict[str, str] = {}
+    for e in found:
+        if e.kind.startswith("name:") and e.text not in GENDER:
+            known.setdefault(e.canon, e.kind)
+    if not known:
+        return []
+    there, out, done = {e.start for e in found}, [], 0
+    words = list(WORD.finditer(text))
+    for m, after in zip(words, [*words[1:], None], strict=True):
+        if m.start() < done:
+            continue
+        joined = after is not None and after.start() == m.end() + 1 and text[m.end()] in "'’-"
+        for end in ([after.end()] if joined else []) + [m.end()]:
+            word = text[m.start() : end]
+            if (kind := known.get(word.lower())) and word[0] == word[0].title():
+                done = end
+                if m.start() not in there:
+                    out.append(Entity(kind, word.lower(), m.start(), end, word))
+                break
+    return out
+
+
+@cache
+def letters(script: str) -> tuple[str, ...]:
+    """Letters, small ones if there is case, of which names are made in a script without syllables: those of its first block."""
+    start, end = {"CJK": (0x4E00, 0x9FA6), "HANGUL": (0xAC00, 0xD7A4)}.get(script, (0x100, 0x20000))
+    found = [c for c in map(chr, range(start, end)) if unicodedata.name(c, "").startswith(f"{script} ") and unicodedata.category(c) in ("Ll", "Lo") and unicodedata.normalize("NFKC", c) == c]
+    found = [c for c in found if c != c.upper() or "SMALL" not in unicodedata.name(c)]  # small kana don't stand by themselves
+    return tuple(c for c in found if script in ("CJK", "HANGUL") or ord(c) - ord(found[0]) < 0x80)
+
+
 class Stream:
     """Numbers below given bounds from a keyed hash, as many as are asked for."""
 
@@ -177,6 +218,9 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     if kind == "ssn":
         return s.digits(len(canon))
     _, role, script = kind.split(":")
+    if script not in SYLLABLES:
+        size = min(max(2, sum(c.isalpha() for c in canon)), 8) + max(0, attempt - 2)
+        return "".join(s.pick(letters(script)) for _ in range(size))
     heads, tails, ends = SYLLABLES[script]
     middle = "".join(s.pick(heads) + s.pick(tails) for _ in range(2 + max(0, attempt - 2)))
     return middle + s.pick(ends[role])
@@ -189,7 +233,7 @@ def dressed(entity: Entity, canon: str) -> str:
     if entity.kind == "ip":
         return canon
     if entity.kind.startswith("name:"):
-        return canon.upper() if len(entity.text) > 1 and entity.text.isupper() else canon[0].upper() + canon[1:]
+        return canon.upper() if len(entity.text) > 1 and entity.text.isupper() else canon[0].title() + canon[1:]
     letters = iter(canon)
     out, skip = [], sum(c.isalnum() for c in entity.text) - len(canon)  # a country code that is not part of the canonical form
     for c in entity.text:
@@ -261,7 +305,8 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     Null texts stay null, texts without entities stay as they are, very long
     texts are searched whole. Equal entities have equal surrogates in all rows,
     different ones of a kind have different ones, and none is an entity of the
-    input. Repeated rows are rewritten alike; other columns are ignored; no
+    input. A name is found by a title, and in the same text then without one; names
+    without any title in their text are not detected. Repeated rows are rewritten alike; other columns are ignored; no
     rows, no result.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()

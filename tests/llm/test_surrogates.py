@@ -1,4 +1,5 @@
 import re
+import unicodedata
 
 from rows import found, no_documents, odd_documents
 
@@ -74,3 +75,30 @@ def test_odd_rows(spark):
 
 def test_keys_matter():
     assert surrogates.replaced("a.b@c.org", b"one", {}) != surrogates.replaced("a.b@c.org", b"two", {})
+
+
+def test_names_are_replaced_without_their_title_too(spark):
+    text = "Smith came first. Mr John Smith arrived. Later Smith and John Smith left, SMITH's hat stayed; blacksmith, smith, Smithson and Smith2 stay. Mrs Anne O'Brien: O'Brien's, Anne-Smith. Mr Smith's"
+    out, n = surrogates.replaced(text, KEY, {})
+    john, smith, anne, brien = (surrogates.dressed(e, surrogates.surrogate(KEY, e.kind, e.canon, 0)) for e in surrogates.detect("Mr John Smith, Mrs Anne O'Brien"))
+    assert out == (
+        f"{smith} came first. Mr {john} {smith} arrived. Later {smith} and {john} {smith} left, {smith.upper()}'s hat stayed; blacksmith, smith, Smithson and Smith2 stay. "
+        f"Mrs {anne} {brien}: {brien}'s, {anne}-{smith}. Mr {smith}'s"
+    )
+    assert n == 13
+    df = spark.createDataFrame([(1, text), (2, "Smith without a title")], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["text"], r["n_entities"]) for r in surrogates.pseudonymise(df, KEY).collect()}
+    assert rows[2] == ("Smith without a title", 0) and rows[1][1] == 13 and not re.search(r"John|Smith\b|Anne|Brien", rows[1][0])
+    assert surrogates.replaced("mail smith@x.org, Mr Smith", KEY, {})[1] == 2
+
+
+def test_names_of_other_scripts_keep_them():
+    for name in ("王伟", "김민수", "さくら", "サクラ", "שרה", "محمد", "शर्मा", "Արամ", "გიორგი", "สมชาย"):
+        out, n = surrogates.replaced(f"Mr {name} came, {name} left", KEY, {})
+        a, b = re.fullmatch(r"Mr (\S+) came, (\S+) left", out).groups()
+        assert n == 2 and a == b != name
+        assert {unicodedata.name(c).split()[0] for c in a} == {unicodedata.name(name[0]).split()[0]}, (name, a)
+
+
+def test_many_mentions_take_linear_time():
+    assert surrogates.replaced("Mr Smith: " + "Smith-Smith " * 20_000, KEY, {})[1] == 40_001
