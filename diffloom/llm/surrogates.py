@@ -50,12 +50,29 @@ _marks = "".join(c for c in map(chr, range(0x300, 0xFE30)) if unicodedata.catego
 _letter = rf"(?:[^\W\d_]|[{_marks}])"
 _name = rf"[^\W\d_a-zа-яα-ω](?:{_letter}+(?:['’-]{_letter}+)?|['’-]{_letter}+)"
 WORD = re.compile(rf"(?<![\w{_marks}]){_letter}++(?!\w)")
+_sep, _zero = r"[ ./-]?", r"(?: ?\(0\))?"
+_date = r"(?!\d{1,2}(?P<d>[./-])\d{1,2}(?P=d)(?:\d{4}|\d{2})(?!(?P=d)?\d))"
+_card = r"(?!\d{4}(?P<c>[ -])\d{4}(?P=c)\d{4}(?P=c)\d)"
+# Digits are counted, so that a number behind a phone number isn't taken along; of countries with one length it is fixed.
+PHONES = (
+    rf"\+1(?:{_sep}\(\d{{3}}\)|{_sep}\d(?:{_sep}\d){{2}})(?:{_sep}\d){{7}}(?!\d)",
+    rf"\+3[34]{_zero}(?:{_sep}\d){{9}}(?!\d)",
+    rf"\+44{_zero}(?:{_sep}\d){{10}}(?!\d)",
+    rf"\+49{_zero}(?:{_sep}\(?\d(?:\)(?={_sep}\d))?){{6,11}}(?!\d)",
+    rf"\+\d(?:{_zero}{_sep}\(?\d(?:\)(?={_sep}\d))?){{7,14}}(?!\d)",
+    rf"(?<![\w.+-])(?<!\d,)(?!\d{{15}})00[1-9]\d{{0,2}}{_zero}(?:{_sep}\d){{7,12}}(?!\w)",
+    r"(?<![\d.-])1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])",
+    r"(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
+    r"(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
+    rf"(?<![\w.+-])(?<!\d[,/])(?<!\d ){_date}{_card}\(?0[1-9](?:\)?{_sep}\d){{7,10}}(?![\w@])",
+    r"(?<![\d.+,-])(?<!\d )[6-9](?:\d\d \d\d|\d \d{3}) \d\d \d\d(?!\d| \d\d\b)",
+)
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")),
     ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
-    ("phone", re.compile(r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)|\+\d{8,15}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])")),
+    ("phone", re.compile("|".join(PHONES))),
     ("card", re.compile(r"(?<![\d.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?![\d-])")),
     ("name", re.compile(rf"\b({'|'.join(sorted(GENDER, key=len, reverse=True))})\.? ({_name}(?: {_name}){{0,2}})")),
 )
@@ -115,8 +132,9 @@ def _canonical(kind: str, text: str) -> str | None:
     if kind == "iban":
         x = text.replace(" ", "")
         return x if _iban_ok(x) else None
-    digits = re.sub(r"\D", "", text)
+    digits = re.sub(r"\D", "", text.replace("(0)", "") if kind == "phone" else text)
     if kind == "phone":
+        digits = digits.removeprefix("00")
         if not 8 <= len(digits) <= 15:
             return None
         return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
@@ -213,7 +231,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         body = canon[0] + s.digits(len(canon) - 2)
         return body + str((luhn(body) + (0 if valid else 1 + s.below(9))) % 10)
     if kind == "phone":
-        lead = canon[:2] if len(canon) > 10 else ""
+        lead = canon[:2] if len(canon) > 10 else "0" if canon[0] == "0" else ""
         return lead + str(2 + s.below(8)) + s.digits(len(canon) - len(lead) - 1)
     if kind == "ssn":
         return s.digits(len(canon))
@@ -234,14 +252,17 @@ def dressed(entity: Entity, canon: str) -> str:
         return canon
     if entity.kind.startswith("name:"):
         return canon.upper() if len(entity.text) > 1 and entity.text.isupper() else canon[0].title() + canon[1:]
-    letters = iter(canon)
-    out, skip = [], sum(c.isalnum() for c in entity.text) - len(canon)  # a country code that is not part of the canonical form
-    for c in entity.text:
-        if c.isalnum() and skip > 0:
+    left = iter(canon)
+    zero = entity.text.find("(0)") + 1 if entity.kind == "phone" else 0  # neither is the zero of +33 (0)6
+    out, skip = [], sum(c.isalnum() for c in entity.text) - len(canon) - (zero > 0)  # a country code that is not part of the canonical form
+    for i, c in enumerate(entity.text):
+        if zero and i == zero:
+            out.append(c)
+        elif c.isalnum() and skip > 0:
             skip -= 1
             out.append(c)
         else:
-            out.append(next(letters) if c.isalnum() else c)
+            out.append(next(left) if c.isalnum() else c)
     return "".join(out)
 
 

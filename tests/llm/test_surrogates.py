@@ -102,3 +102,30 @@ def test_names_of_other_scripts_keep_them():
 
 def test_many_mentions_take_linear_time():
     assert surrogates.replaced("Mr Smith: " + "Smith-Smith " * 20_000, KEY, {})[1] == 40_001
+
+
+PHONES = ["+33 6 12 34 56 78", "+33 (0)6 12 34 56 78", "+33(0)612345678", "0033 6 12 34 56 78", "+49 30 12345678", "+49 171 1234567", "+49 (0)171/1234567", "+34 612345678", "+34 612 34 56 78", "+44 20 7946 0958", "+4930123456"]
+PHONES += ["06 12 34 56 78", "06.12.34.56.78", "0612345678", "0171 1234567", "0171/1234567", "(030) 12345678", "030 123 456 78", "1-800-555-1234", "1 (800) 555-1234", "555 123 4567", "555-123-4567", "(555) 123 4567", "612 34 56 78", "91 123 45 67"]
+PHONES += ["+1 (743) 555-3824", "+1 743 555 3824", "+17435553824"]
+
+
+def test_phone_forms_of_all_languages():
+    sentences = ("Call {} today or 20 people", "Appelez le {} avant 2020", "Rufen Sie {} an, bis 2020", "Llame al {}, hoy. 2020", "{}", "{} 2020 rows")
+    for phone in PHONES:
+        for sentence in sentences:
+            found = surrogates.detect(sentence.format(phone))
+            if (phone, sentence) not in {(p, "{} 2020 rows") for p in PHONES if p.startswith(("+4", "030", "0171", "(030"))}:  # of no fixed length
+                assert [(e.kind, e.text) for e in found] == [("phone", phone)], (phone, sentence)
+            else:
+                assert found[0].text.startswith(phone), (phone, sentence)
+        out, n = surrogates.replaced(f"x {phone} y", KEY, {})
+        assert n == 1 and out != f"x {phone} y" and re.sub(r"\d", "0", out) == re.sub(r"\d", "0", f"x {phone} y")
+        assert phone[0] != "0" or out[2] == "0"
+        assert "(0)" not in phone or "(0)" in out
+        assert surrogates._canonical("phone", out[2:-2]) == surrogates.surrogate(KEY, "phone", surrogates._canonical("phone", phone), 0), phone
+    assert len({surrogates._canonical("phone", p) for p in PHONES[:4]}) == 1
+
+
+def test_other_numbers_are_no_phones():
+    for text in ("01.02.2020 12:30", "01-02-2020 12", "05/06/2021 1234", "3.0612345678", "3,0612345678", "0.0171234567", "12 345 678 900", "000123456789", "2020-01-02 10:20:30", "0123 4567 8901 2345", "0054994038693466", "9c0150411590525cf8", "612 345 678", "1 000 000 000"):
+        assert [e for e in surrogates.detect(text) if e.kind == "phone"] == [], text
