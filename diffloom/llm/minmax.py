@@ -7,6 +7,7 @@ Jaccard similarity, so half the evaluations give a signature of full length.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,6 +46,9 @@ def shingles(text: str | None, words: WordHashes, width: int = 2) -> np.ndarray:
     return np.unique(mixed)
 
 
+MOST_BANDS = 150  # more only if single rows need them
+
+
 @dataclass(frozen=True)
 class MinMax:
     """bands of `rows` values each; every hash function gives two values, none of them in the same band.
@@ -64,6 +68,20 @@ class MinMax:
         object.__setattr__(self, "factors", rng.integers(0, 2**31, functions, np.uint32) * np.uint32(2) + np.uint32(1))
         object.__setattr__(self, "_shift", rng.integers(0, 2**32, functions, np.uint32))
 
+    @classmethod
+    def of(cls, percent: int) -> MinMax:
+        """Bands that miss a pair of that similarity with at most the probability of the standing ones at 0.8."""
+        if not 1 <= percent <= 100:
+            raise ValueError(f"percent is {percent}, not from 1 to 100")
+        plain = cls()
+        if percent >= 80:
+            return plain
+        miss = plain.bands * math.log1p(-(0.8**plain.rows))
+        # the more rows, the fewer pairs that are not alike share a band
+        needed = {rows: math.ceil(miss / math.log1p(-((percent / 100) ** rows))) for rows in range(1, plain.rows)}
+        rows = max((r for r, bands in needed.items() if bands <= MOST_BANDS), default=1)
+        return cls(needed[rows], rows)
+
     def signature(self, s: np.ndarray) -> np.ndarray:
         """Smallest values of all functions, then the largest ones. s: a non-empty set of shingles."""
         low = (s >> np.uint64(32)).astype(np.uint32) ^ s.astype(np.uint32)

@@ -193,7 +193,8 @@ def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | N
     """doc_id, row, n_shingles, component_id, kept, first: a row per row of docs.
 
     Two texts are linked if the intersection of their shingle sets is at least
-    `percent` of the union; component_id is the smallest doc_id reachable, kept
+    `percent` (1 to 100) of the union, and share a band of `hashing`, by default one
+    that misses 3 in a million at `percent`; component_id is the smallest doc_id reachable, kept
     tells whether it is the document's own. row numbers the rows of docs, by the
     unique column of that name if one is given, and first marks one row per component, also where ids repeat. Null and empty
     texts and texts of white space have no shingles and no links. Equal texts
@@ -201,7 +202,7 @@ def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | N
     a component are null. Other columns are ignored; no rows, no result.
     """
     small_batches(docs.sparkSession)
-    signed = materialise(signatures(docs, width, hashing or MinMax(), row), "signatures")
+    signed = materialise(signatures(docs, width, hashing or MinMax.of(percent), row), "signatures")
     full = signed.where("digest is not null")
     classes = full.groupBy("digest").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best"))
     with Kept() as keep:

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from rows import found, no_documents, odd_documents
 
 from conftest import DATA
@@ -124,3 +125,25 @@ def test_components(spark):
     rows = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["root"] for r in rows} == {n: r for n, r in want.items() if n != r}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_pairs_at_a_low_threshold_are_linked(spark):
+    """Each pair shares 10 of 30 words."""
+    texts = []
+    for k in range(60):
+        words = [[f"p{k}{part}{i}" for i in range(10)] for part in "abc"]
+        texts += [" ".join(words[0] + words[1]), " ".join(words[0] + words[2])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = neardup.find(df, percent=33, width=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i - i % 2 for i in range(120)}
+
+
+def test_bands_follow_the_threshold():
+    assert minmax.MinMax.of(80) == minmax.MinMax.of(95) == minmax.MinMax()
+    for percent in range(1, 80):
+        bands = minmax.MinMax.of(percent)
+        assert (1 - (percent / 100) ** bands.rows) ** bands.bands <= 3.1e-6, percent
+        assert len(bands.keys(bands.signature(np.arange(1, 9, dtype=np.uint64)))) == bands.bands
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            minmax.MinMax.of(percent)
