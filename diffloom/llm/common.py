@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as the contracts of this package split words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,12 +32,30 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/diffloom-{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, below a folder of this application's own."""
+    return f"{scratch_dir(spark)}/diffloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Let Python workers get few rows at a time: texts are long, and a worker holds a batch several times over."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def discard(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application left in the shared folder; results that weren't written elsewhere are lost."""
+    discard(spark, f"{scratch_dir(spark)}/diffloom-{spark.sparkContext.applicationId}")
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows.
+
+    Spark bounds what it sends at once by bytes (64 MB unless the session says
+    otherwise); a worker's own copies of it, as Python objects, are bounded by
+    rows here, so that no setting of the caller's session has to change.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -44,32 +64,67 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     A lost executor costs only a re-read, and the size is known to the planner,
     which can then broadcast small tables by their measured size.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, scratch_path(df.sparkSession, name))
 
 
-class Kept:
-    """Small intermediate tables, persisted while a with block lasts.
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Their lineage stays, so a lost executor's part is computed again; what the
-    block returns must be written inside it.
-    """
 
-    def __init__(self):
-        self.frames: list[DataFrame] = []
+class Scratch:
+    """Tables in the shared folder that are deleted at the end of a with block, or before.
 
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
+    What the block returns must not read them: it is written by materialise(),
+    or by another Scratch that lives longer.
+    """
 
-    def __enter__(self) -> Kept:
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        self.tables.append((None, path))  # so that a write that fails leaves nothing behind either
+        made = _written(df, path)
+        self.tables[-1] = (made, path)
+        return made
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table that this made."""
+        for i, (made, path) in enumerate(self.tables):
+            if made is table:
+                discard(self.spark, path)
+                del self.tables[i]
+                return
+
+    def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        while self.frames:
-            self.frames.pop().unpersist()
+        while self.tables:
+            discard(self.spark, self.tables.pop()[1])
+
+
+def fresh(taken: Sequence[str], name: str) -> str:
+    """name, or with as many underscores as make it differ from the names taken, whatever their case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def hashable(name: str, kind: T.DataType) -> Column:
+    """The column, or its JSON text where Spark can neither hash nor order its type."""
+    column = F.col("`" + name.replace("`", "``") + "`")
+    return F.to_json(F.struct(column)) if _has_map(kind) else column
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,9 +134,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Number of words between ASCII white space; null counts as empty.
 
-    A word starts where a non-space follows a space or the beginning, so the
-    spaces are mapped to one character and counted by removal: no array of
-    words is built.
+    Each word becomes one letter and the spaces go: what is left is as long as
+    there are words, and no array of words is built.
     """
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.size(F.filter(F.split(flat, " +"), lambda w: w != "")).cast("long")
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x")
+    return F.length(F.translate(letters, " \t\n\x0b\x0c\r", "")).cast("long")

@@ -2,7 +2,8 @@
 
 Only minima by node and joins with them are used, so the many neighbours of a
 hub are combined before they are shuffled or split by the skew join; no node's
-neighbours are gathered. Each round is written to the shared folder.
+neighbours are gathered. Each round is written to the shared folder, and the
+round before it deleted.
 """
 
 from __future__ import annotations
@@ -10,14 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import materialise
+from diffloom.llm.common import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node that is not the smallest of its component. edges: (a, b), in any order, with repeats."""
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) for every node that is not the smallest of its component; read it while scratch lasts.
+
+    edges: (a, b) of whole numbers without nulls, in any order; repeats and
+    edges from a node to itself don't matter; no edges, no rows.
+    """
+    now = scratch(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
+        before = now
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # here each a is larger than its b
@@ -25,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = _least(large)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = materialise(now, "stars")
+        now = scratch(now, "stars")
+        scratch.drop(before)
         was, state = state, _state(now)
         if was == state:
             break

@@ -9,14 +9,18 @@
 3. A group is dealt into blocks of bounded size. A block resolves all pairs in
    it by an inverted index over the full sets, and reports only links that join
    parts not joined yet, a few per node.
-4. Groups of more than one block are settled between blocks: after joining what
-   is linked so far, only nodes outside the group's largest component are
-   compared with the other blocks, so a large family of copies costs little
-   more than its strays.
-5. Components of all links, and their smallest document.
-
-Tables that grow with the corpus are joined by merge joins at every size: none
-of them has a bound that would allow to broadcast it.
+4. Nodes of groups of more than one block are grouped anew, by the rarest part
+   of their sets: two sets above the threshold share at least one item among
+   the first of each, in any common order (the prefix filter, which is exact).
+   Groups whose nodes are all joined already are left out, so neither a large
+   family of copies nor one of texts that only share a frame is compared again.
+5. What is left of more than one block is settled between blocks: only nodes
+   outside the group's largest component are compared with the other blocks.
+6. Components of all links, and their smallest document.
+
+Tables that grow with the corpus are joined by merge joins at every size. The
+table of groups of several blocks is the planner's to broadcast, by its
+measured size; so a leader that many nodes share doesn't gather them in a task.
 """
 
 from __future__ import annotations
@@ -29,11 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import Kept, materialise, small_batches
+from diffloom.llm.common import Scratch, fresh, materialise, sliced
 from diffloom.llm.components import components
 from diffloom.llm.minmax import MinMax, WordHashes, shingles
 
 BLOCK_NODES, BLOCK_SHINGLES = 256, 1 << 19
+SLOTS = 1 << 18  # counters by which items count as rare: they only decide on the order, so that they may be shared
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -41,37 +46,48 @@ def digest(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, width: int, hashing: MinMax, row: str | None = None) -> DataFrame:
-    """doc_id, row (unique), n (shingles), digest (of the set) and keys (of the bands) per row; without shingles the last two are null."""
+    """doc_id, row (unique), h (of the text), n (shingles), digest (of the set) and keys (of the bands) per row; without shingles the last two are null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in batches:
-            sets = [shingles(t.as_py(), words, width) for t in batch.column(2)]
+        for batch in sliced(batches):
+            sets = [shingles(t.as_py(), words, width) for t in batch.column(3)]
             keys = [hashing.keys(hashing.signature(s)) if len(s) else None for s in sets]
             columns = [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array(keys, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "row", "n", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["doc_id", "row", "h", "n", "digest", "keys"])
 
-    rows = docs.select("doc_id", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, row long, n long, digest binary, keys array<long>")
+    rows = docs.select("doc_id", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, row long, h long, n long, digest binary, keys array<long>")
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(node, items) for the nodes in needed (node, doc_id, digest): the sets' bytes, made again from the texts."""
+    """(node, items) for the nodes in needed (node, doc_id, h, digest): the sets' bytes, made again from the texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            made = [shingles(t.as_py(), words, width) for t in batch.column(2)]
-            own = [i for i, s in enumerate(made) if digest(s) == batch.column(1)[i].as_py()]  # else another row with the same id
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([made[i].tobytes() for i in own], pa.binary())], ["node", "items"])
+    Id and hash of the text find it, so that rows which share or lack an id
+    don't meet. Rows that repeat both lie side by side behind the merge join,
+    and all but the first of them are passed over.
+    """
 
-    needed = needed.withColumnRenamed("doc_id", "needed_id")
-    texts = docs.select("doc_id", "text").join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("needed_id")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, last = WordHashes(), None
+        for batch in sliced(batches):
+            own, made = [], []
+            for i, (node, want, text) in enumerate(zip(*batch.columns, strict=True)):
+                if node == last or digest(s := shingles(text.as_py(), words, width)) != want.as_py():  # else another text of that hash
+                    continue
+                last = node
+                own.append(i)
+                made.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(made, pa.binary())], ["node", "items"])
+
+    needed = needed.select("node", F.col("doc_id").alias("needed_id"), F.col("h").alias("needed_h"), "digest")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    texts = texts.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("needed_id")) & (F.col("h") == F.col("needed_h")))
     return texts.select("node", "digest", "text").mapInArrow(run, "node long, items binary")
 
 
@@ -135,58 +151,107 @@ def resolve_between(table: pa.Table, percent: int) -> pa.Table:
     return _edges(pairs)
 
 
-def groups_of(nodes: DataFrame) -> DataFrame:
-    """(leader, node) of all buckets with two nodes or more. nodes: (node, keys)."""
-    rows = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(buckets.hint("merge"), "key").select("leader", "node").where("leader <> node").distinct()
+def groups_of(nodes: DataFrame, percent: int) -> DataFrame:
+    """(leader, leader_n, node, n) of all buckets that can hold a link. nodes: (node, n, keys), and root if they are joined in part.
 
+    Left out are buckets whose nodes are all joined, and those of two nodes
+    whose sizes rule out a link.
+    """
+    root = ["root"] if "root" in nodes.columns else []
+    rows = nodes.select("node", F.col("n").cast("int").alias("n"), *root, F.explode("keys").alias("key"))
+    r = F.col("root") if root else F.col("node")
+    buckets = rows.groupBy("key").agg(
+        F.min(F.struct("node", "n")).alias("first"), F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("members"), F.min(r).alias("r"), F.max(r).alias("s")
+    )
+    able = (F.col("r") < F.col("s")) & ((F.col("members") > 2) | (100 * F.col("least").cast("long") >= percent * F.col("most").cast("long")))
+    buckets = buckets.where(able).select("key", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
+    return rows.join(buckets.hint("merge"), "key").select("leader", "leader_n", "node", "n").where("leader <> node").distinct()
 
-def possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """pairs without groups of two whose sizes alone rule out a link."""
-    few = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.max("node").alias("node")).where("members = 1")
-    few = few.join(sizes, "node").join(sizes.select(F.col("node").alias("leader"), F.col("n").alias("m")), "leader")
-    never = few.where(100 * F.least("n", "m") < percent * F.greatest("n", "m")).select("leader")
-    return pairs.join(never, "leader", "left_anti")
 
+def deal(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(leader, node, blocks, block): the groups with their leaders, in blocks of bounded size."""
+    led = pairs.select("leader", F.col("leader").alias("node"), F.col("leader_n").alias("n")).distinct()
+    members = pairs.select("leader", "node", "n").unionByName(led)
+    enough = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    large = scratch(members.groupBy("leader").agg(enough.alias("blocks")).where("blocks > 1"), "large")
+    dealt = members.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    return scratch(dealt.select("leader", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")), "dealt")
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, keep: Kept) -> DataFrame:
-    """(a, b): enough links between nodes to give the components of all. nodes: (node, doc_id, digest, n, keys)."""
-    pairs = materialise(possible(keep(groups_of(nodes)), nodes.select("node", "n"), percent), "groups")
-    led = pairs.select("leader").distinct()
-    members = pairs.unionByName(led.select("leader", F.col("leader").alias("node")))
-    about = nodes.select("node", "doc_id", "digest", "n").join(members.select("node").distinct().hint("merge"), "node")
-    about = keep(about)
-    sets = materialise(sets_of(docs, about.select("node", "doc_id", "digest"), width), "sets")
 
-    sized = members.join(about.select("node", "n"), "node")
-    blocks = sized.groupBy("leader").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("long").alias("blocks")
-    )
-    blocks = keep(blocks)  # a join of two plain shuffles can be split where a leader is hot
-    dealt = materialise(members.join(blocks.hint("merge"), "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "blocks")
-    edge = "a long, b long"
-    inside = dealt.join(sets.hint("merge"), "node").groupBy("leader", "block").applyInArrow(lambda t: resolve_block(t, percent), edge)
-    inside = keep(inside.where("a is not null"))
+def within(dealt: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links between nodes of a block."""
+    found = dealt.select("leader", "block", "node").join(sets.hint("merge"), "node").groupBy("leader", "block").applyInArrow(lambda t: resolve_block(t, percent), "a long, b long")
+    return scratch(found, "inside")
 
-    wide = dealt.where("blocks > 1")
-    if wide.isEmpty():
-        return inside
-    roots = components(inside)
-    wide = keep(wide.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, root, keys): of each set (node, root, items) the items that a similar one must share one of, the rarest.
+
+    How often items occur is counted in SLOTS counters, so the driver gets a
+    table of bounded size; whatever they hold, the order is the same for all.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(iter([batch])):
+                slots, n = np.unique(np.concatenate(_sets(part, "items")) & np.uint64(SLOTS - 1), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(n)], ["slot", "n"])
+
+    counted = sets.select("items").mapInArrow(tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.ones(SLOTS, np.int64)
+    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            keys, sizes = [], []
+            for s in _sets(batch, "items"):
+                order = np.lexsort((s, counts[s & np.uint64(SLOTS - 1)]))
+                keys.append(s[order[: len(s) + 1 - -(-percent * len(s) // 100)]].view(np.int64))
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["node", "n", "root", "keys"])
+
+    return sets.select("node", "root", "items").mapInArrow(first, "node long, n long, root long, keys array<long>")
+
+
+def between(wide: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links between blocks of the groups in wide (leader, node, blocks, block), whose blocks are settled in themselves."""
+    wide = scratch(_rooted(wide, roots), "wide")
     largest = wide.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    strays = keep(wide.join(keep(largest).hint("merge"), "leader").where("root <> main"))
-    chunks = strays.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_NODES)).cast("long").alias("chunks"))
-    chunks = keep(chunks)
-    asking = strays.join(chunks.hint("merge"), "leader").select(
-        "leader", "node", "root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("chunk"), F.col("block").alias("own"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-    ).where("block <> own").drop("own").withColumn("asks", F.lit(True))
-    asked = wide.join(chunks.hint("merge"), "leader").select(
-        "leader", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "block"
-    ).withColumn("asks", F.lit(False))
-    across = asking.unionByName(asked).join(sets.hint("merge"), "node").groupBy("leader", "block", "chunk").applyInArrow(lambda t: resolve_between(t, percent), edge)
-    return inside.unionByName(keep(across))
+    strays = scratch(wide.join(scratch(largest, "largest"), "leader").where("root <> main").drop("main"), "strays")
+    chunks = scratch(strays.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_NODES)).cast("long").alias("chunks")), "chunks")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asking = strays.withColumnRenamed("block", "own").join(chunks, "leader").select(
+        "leader", "node", "root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("chunk"), "own", every("blocks").alias("block"), F.lit(True).alias("asks")
+    ).where("block <> own").drop("own")
+    asked = wide.join(chunks, "leader").select("leader", "node", "root", every("chunks").alias("chunk"), "block", F.lit(False).alias("asks"))
+    across = asking.unionByName(asked).join(sets.hint("merge"), "node").groupBy("leader", "block", "chunk").applyInArrow(lambda t: resolve_between(t, percent), "a long, b long")
+    return scratch(across, "across")
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    return nodes.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """(a, b): enough links between nodes to give the components of all. nodes: (node, doc_id, h, digest, n, keys)."""
+    dealt = deal(scratch(groups_of(nodes.select("node", "n", "keys"), percent), "groups"), scratch)
+    needed = nodes.select("node", "doc_id", "h", "digest").join(dealt.select("node").distinct().hint("merge"), "node")
+    sets = scratch(sets_of(docs, needed, width), "sets")
+    edges, wide = within(dealt, sets, percent, scratch), dealt.where("blocks > 1")
+    if wide.isEmpty():
+        return edges
+    roots = components(edges, scratch)
+    fine = rarest(_rooted(sets.join(wide.select("node").distinct().hint("merge"), "node"), roots), percent)
+    dealt = deal(scratch(groups_of(scratch(fine, "fine"), percent), "groups"), scratch)
+    edges, wide = _edges_of(roots).unionByName(within(dealt, sets, percent, scratch)), dealt.where("blocks > 1")
+    if wide.isEmpty():
+        return edges
+    roots = components(edges, scratch)
+    return _edges_of(roots).unionByName(between(wide, sets, roots, percent, scratch))
+
+
+def _edges_of(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | None = None, row: str | None = None) -> DataFrame:
@@ -197,21 +262,20 @@ def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | N
     that misses 3 in a million at `percent`; component_id is the smallest doc_id reachable, kept
     tells whether it is the document's own. row numbers the rows of docs, by the
     unique column of that name if one is given, and first marks one row per component, also where ids repeat. Null and empty
-    texts and texts of white space have no shingles and no links. Equal texts
-    are one class, however many. Null ids never are the smallest unless all in
+    texts and texts of white space have no shingles and no links; long texts are
+    taken whole. Equal texts are one class, however many. Null ids never are the smallest unless all in
     a component are null. Other columns are ignored; no rows, no result.
     """
-    small_batches(docs.sparkSession)
     signed = materialise(signatures(docs, width, hashing or MinMax.of(percent), row), "signatures")
     full = signed.where("digest is not null")
-    classes = full.groupBy("digest").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best"))
-    with Kept() as keep:
-        classes = keep(classes)
+    with Scratch(docs.sparkSession) as scratch:
+        classes = full.groupBy("digest").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best"))
+        classes = scratch(classes, "classes")
         # the node's own row carries its keys and its id
         own = classes.select(F.col("node").alias("row")).hint("merge")
-        nodes = materialise(full.join(own, "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "digest", "n", "keys"), "nodes")
-        roots = components(links(docs, nodes, percent, width, keep))
-        joined = keep(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        nodes = scratch(full.join(own, "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "h", "digest", "n", "keys"), "nodes")
+        roots = components(links(docs, nodes, percent, width, scratch), scratch)
+        joined = scratch(classes.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         best = joined.groupBy("root").agg(F.min("best").alias("of_all"))
         found = materialise(joined.join(best, "root").select(F.col("digest").alias("d"), "of_all"), "class-components")
     out = signed.join(found.hint("merge"), F.col("digest") == F.col("d"), "left")
@@ -228,8 +292,14 @@ def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | N
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without near-duplicates: of each component one row, that of the smallest doc_id, with all columns."""
-    numbered = materialise(docs.withColumn("row_", F.monotonically_increasing_id()), "numbered")
-    found = find(numbered, row="row_", **options)
-    dropped = materialise(found.where(~F.col("first")).select(F.col("row").alias("row_")), "dropped")
-    return numbered.join(dropped, "row_", "left_anti").select(*docs.columns)
+    """docs without near-duplicates: of each component one row, that of the smallest doc_id, with all columns.
+
+    Columns of any name and type stay as they are. Rows without words, null
+    texts among them, all stay; rows that repeat an id are told apart; no rows,
+    no result.
+    """
+    row = fresh(docs.columns, "row_")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = find(numbered, row=row, **options)
+    dropped = materialise(found.where(~F.col("first")).select(F.col("row").alias(row)), "dropped")
+    return numbered.join(dropped, row, "left_anti").drop(row)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import materialise, small_batches
+from diffloom.llm.common import materialise, sliced
 
 WINDOW = 1024
 END = 0  # the id behind each document
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str, window: int = WINDO
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = Encoder(json_path, ranks_path), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             owners, rows = [], []
             for row, text in enumerate(batch.column(1)):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END)).astype("<u4")
@@ -247,7 +247,6 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
     """
     if json_path is None or ranks_path is None:
         json_path, ranks_path = default_paths()
-    small_batches(docs.sparkSession)
     cut = materialise(pieces(docs, json_path, ranks_path, window), "pieces")
     tally = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(window + 1, np.int64)

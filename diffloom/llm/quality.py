@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from diffloom.llm.common import small_batches
+from diffloom.llm.common import sliced
 
 BUCKETS = 1 << 14
 #: Frequent function words of the languages expected.
@@ -238,11 +238,10 @@ class QualityModel:
         threshold: texts that score less are rejected. It is below one half so
         that doubtful texts stay.
         """
-        small_batches(docs.sparkSession)
         code = T.StructType([T.StructField("code", T.LongType()), T.StructField("h", T.LongType())])
 
         def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([pattern(votes(t.as_py())) for t in batch.column(0)], pa.int64()), batch.column(1)], ["code", "h"])
 
         keyed = docs.select(text_col, F.pmod(F.xxhash64(text_col), F.lit(1 << 30)).alias("h"))
@@ -254,7 +253,7 @@ class QualityModel:
         upto = int((1 << 30) * min(1.0, sample_rows / max(1.0, counts.sum())))
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 texts = [t.as_py() for t in batch.column(0)]
                 good = [posterior[pattern(votes(t))] for t in texts]
                 vectors = [hashed(t) for t in texts]
@@ -289,7 +288,7 @@ def classify(docs: DataFrame, model: QualityModel | None = None, **options) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [model.judge(t.as_py()) for t in batch.column(1)]
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "score", "kept"])
@@ -303,7 +302,7 @@ def keep_good(docs: DataFrame, model: QualityModel | None = None, **options) ->
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([model.judge(t.as_py())[1] for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

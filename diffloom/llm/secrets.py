@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from diffloom.llm.automaton import Dfa, Parser, reverse, trimmed
-from diffloom.llm.common import small_batches
+from diffloom.llm.common import sliced
 
 
 @dataclass(frozen=True)
@@ -170,7 +170,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more:
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t in SCAN_FIELDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(1):
                 spans = scanner.spans(text.as_py())
@@ -180,7 +180,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()] * 2, strict=True)] if rows else [pa.array([], t) for t in [pa.int64()] * 3 + [pa.string()] * 2]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *(n for n, _ in SCAN_FIELDS)])
 
-    small_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -194,7 +193,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     at, n = names.index(text_col), names.index(length_col) if length_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = list(batch.columns)
             texts = columns[at].to_pylist()
             lengths = columns[n].to_pylist() if n is not None else None
@@ -208,7 +207,6 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
                 columns[n] = pa.array(lengths, columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import materialise, small_batches
+from diffloom.llm.common import materialise, sliced
 
 # Forms of address with the gender they tell.
 TITLES = {
@@ -283,7 +283,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(i, *x) for i, t in enumerate(batch.column(1)) for x in sorted({(e.kind, e.canon) for e in detect(t.as_py())})]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], ["doc_id", "kind", "canon"]
@@ -331,7 +331,6 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     rows, no result.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    small_batches(docs.sparkSession)
     met = materialise(occurrences(docs), "occurrences")
     again = materialise(attempts_of(met.select("kind", "canon").distinct(), key), "attempts")
     special = met.join(again, ["kind", "canon"]).distinct().groupBy(F.col("doc_id").alias("special_id"))
@@ -339,7 +338,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     rows = docs.select("doc_id", "text").join(special, F.col("doc_id").eqNullSafe(F.col("special_id")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             done = [replaced(t.as_py(), key, {(x["kind"], x["canon"]): x["attempt"] for x in s.as_py() or ()}) for t, s in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["doc_id", "text", "n_entities"])
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import materialise, scratch_path, small_batches
+from diffloom.llm.common import materialise, scratch_path, sliced
 
 DICT_MAGIC = 0x184D2A5D  # fixed value: the skippable frame of an archive's dictionary
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
@@ -113,7 +113,6 @@ def write(pages: DataFrame, path: str, level: int = 6) -> None:
     payload moves if repeated digests are few enough to be broadcast.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    small_batches(pages.sparkSession)
     content = train_dictionary(pages)
     firsts = materialise(revisits(pages), "warc-first")
     rows = pages.withColumn("digest", F.sha2("html", 256)).join(firsts, "digest", "left")
@@ -122,7 +121,7 @@ def write(pages: DataFrame, path: str, level: int = 6) -> None:
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = struct.pack("<II", DICT_MAGIC, len(content)) + content
         press = zstandard.ZstdCompressor(level, dict_data=_dictionary(content)) if content else zstandard.ZstdCompressor(level)
-        for batch in batches:
+        for batch in sliced(batches):
             out, held = ([head] if head else []), 0
             head = b""
             for values in zip(*batch.columns, strict=True):

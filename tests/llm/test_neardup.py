@@ -8,6 +8,7 @@ from rows import found, no_documents, odd_documents
 
 from conftest import DATA
 from diffloom.llm import components, minmax, neardup
+from diffloom.llm.common import Scratch
 from diffloom.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,6 +73,27 @@ def test_families_over_many_blocks(spark, monkeypatch):
         assert sorted(found(neardup.find(df), "doc_id", "n_shingles", "component_id", "kept")) == expected(texts)
 
 
+def test_family_below_the_threshold_is_not_compared_as_a_whole(spark, monkeypatch):
+    """Texts that share a frame of two thirds: many share bands, none is linked but a few copies, and the last stage has nothing to do."""
+    rng = random.Random(6)
+    frame = [f"f{i}" for i in range(200)]
+    texts = {i: " ".join(frame + [f"x{rng.randrange(10**9)}" for _ in range(60)]) for i in range(400)}
+    texts |= {1000 + i: texts[i] + " more" for i in range(0, 400, 40)}
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 16)
+    monkeypatch.setattr(neardup, "between", None)
+    assert sorted(found(neardup.find(df), "doc_id", "n_shingles", "component_id", "kept")) == expected(texts)
+
+
+def test_many_rows_without_an_id(spark):
+    """Each finds its own text again, not those of all others; two of them are near copies of a row with an id."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(None, f"a{k} b{k} c{k} d{k}") for k in range(3000)] * 2 + [(None, " ".join(base)), (None, " ".join([*base, "end"])), (5, " ".join([*base, "other"]))]
+    rows = found(neardup.find(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id", "kept", "first")
+    assert len(rows) == 6003 and sum(r[3] for r in rows) == 3001
+    assert sorted((r for r in rows if r[1] == 5), key=repr) == [(5, 5, True, True), (None, 5, False, False), (None, 5, False, False)]
+
+
 def test_five_word_shingles(spark):
     texts = families(3, 120, words=300)
     df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
@@ -84,7 +106,8 @@ def test_odd_rows(spark):
     assert set(rows) == {(1, 5, 1, True, True), (2, 0, 2, True, True), (3, 0, 3, True, True), (4, 0, 4, True, True), (5, 3, 5, True, True), (6, 5, 1, False, False), (7, 1, 7, True, True), (None, 5, None, True, True)}
     assert neardup.find(no_documents(spark)).collect() == []
     kept = neardup.keep_one(odd_documents(spark))
-    assert kept.columns == odd_documents(spark).columns
+    assert kept.columns == odd_documents(spark).columns and kept.schema.simpleString() == odd_documents(spark).schema.simpleString()
+    assert {(r["row"], r["row_"]) for r in kept.collect()} == {("mine", "mine")}
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None"]
 
 
@@ -122,9 +145,11 @@ def test_components(spark):
             if x not in want:
                 want[x] = n
                 todo += neighbours[x]
-    rows = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r["node"]: r["root"] for r in rows} == {n: r for n, r in want.items() if n != r}
-    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    with Scratch(spark) as scratch:
+        rows = components.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()
+        assert {r["node"]: r["root"] for r in rows} == {n: r for n, r in want.items() if n != r}
+        assert len(scratch.tables) == 1
+        assert components.components(spark.createDataFrame([], "a long, b long"), scratch).collect() == []
 
 
 def test_pairs_at_a_low_threshold_are_linked(spark):
