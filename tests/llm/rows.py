@@ -17,12 +17,16 @@ TEXTS = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+#: Names that the operators use themselves.
+CLASHING = ("row", "row_", "all_", "copies", "source_", "place", "key", "size", "w", "u", "tag", "turn", "digest", "node", "n", "kept", "rank", "part", "length", "special", "html", "leader", "root", "left", "h", "good")
+
+
 def odd_documents(spark):
-    """With columns whose names the operators use themselves."""
+    """With columns whose names the operators use themselves, and one that can't be ordered."""
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(TEXTS, SCHEMA)
-    return df.withColumns({c: F.lit("x") for c in ("row", "key", "size", "w", "u", "digest", "node", "n", "kept", "rank", "part", "length", "special", "html")})
+    return df.withColumns({c: F.lit("mine") for c in CLASHING}).withColumn("a map", F.create_map(F.lit("k"), F.col("n_chars")))
 
 
 def no_documents(spark):
