@@ -1,10 +1,9 @@
-"""Texts of short public licences and of the notices that stand for long ones."""
+"""Texts of short public licences and notices, and digests of the canonical texts of long ones."""
 
 TEXTS = {
     "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
 http://www.apache.org/licenses/LICENSE-2.0
@@ -33,7 +32,6 @@ Permission is hereby granted, free of charge, to any person or organization obta
 The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
 
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
@@ -47,7 +45,6 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "MIT-line": "Released under the MIT License.",
     "Unlicense": """This is free and unencumbered software released into the public domain.
 
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
@@ -76,3 +73,61 @@ TITLES = {
     "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
     "Zlib": ("zlib License", "The zlib/libpng License"),
 }
+
+#: SHA-256 of the canonical texts (licences.canonical) of long licences, each whole and, where there is one, without the appendix on its use,
+#: with and without the line that ends the terms. Made with licences.digests_of() from the texts that Linux distributions ship as common licences.
+DIGESTS = {
+    "Apache-2.0": (
+        "b7cb942455c8ba8aab896ea3d5d829fdec372183d8b78a28d2a13730104486f4",
+        "bfcf9d4bcebffe65132587b5f649050b7d29cffcbce8b2d564825c6461ca79ee",
+        "fa6858146d98f9e575ee25efd5439bf8912df14bea04ec64b91b2e7260a0df9e",
+    ),
+    "Artistic-1.0-Perl": (
+        "065afd054b7b3891100d80895d113a7c684cbc25122fa1c526244c852fe5a9ba",
+    ),
+    "CC0-1.0": (
+        "b096badc0168abbd7a6496f3097d3b3e33b5d3d54dbc0990a1eb8341c549c075",
+    ),
+    "GFDL-1.2": (
+        "7c161d5aa93aa0ed7b2e6297e48d5e8e51f4fcfcc97ff3ca6bf5c7a92c40fc7a",
+        "d3e762e6b618af0f12bf06bc4879d1a12e3b340ce2d4252ddb1bff9a9989de8f",
+    ),
+    "GFDL-1.3": (
+        "e4fa533ffd41db9606c1db6a5a7b1427f660652b28792116dfcdb9a3406ccf5d",
+        "ef0bfcbe9867bebf624e32e3765d80ba793036e6f78d245d3fdb8dd535b08e90",
+    ),
+    "GPL-1.0": (
+        "4e77003def8f9643b9cb5f63ff5df4f150d1123f04240408f6dbb94b12efb87e",
+        "e6844a3bb02552ebef61275305dd8520cf87f8280ee595d8e600d701d3ec921b",
+        "fbcacd0e1c4fa475e1c65de13115698dc97e86fc3067cb1823d126132a644336",
+    ),
+    "GPL-2.0": (
+        "67ebda8fc51c3c3fb6b03a5826da7e70983724fdf39f8d6a981b86796518276a",
+        "bbbb81ce82fcad5494accc9871e017af3462409c02f2d76cda604f0f2708799f",
+        "e6857ec0b715a80c38e6bed64d42b461c6d69f871fddc8323f2d5acb79e9f158",
+    ),
+    "GPL-3.0": (
+        "5234261bf271a7767cd45324f715cedb1ec603698fd5c43d5601f2a4ef5e61a3",
+        "9db2055c231266a3323eaaa5c7524505178f68cd43db3442d807c7a277e7d646",
+        "f3aef12027855bf529be823d64b751466e65c5521bf22a3f134ad5d2fdda9cd5",
+    ),
+    "LGPL-2.0": (
+        "1d94f64154860cd5efe9a463ca6438f76d849e1642008ec8a6ad0f03603b0ea0",
+        "9019fa7a00ecc6fec833a84637a5b776de64bd6b92623949c63cf3228755917b",
+        "c1f6cdb9ed0ada60ad805545d4bc4f28b067d61311345162390e2c9963cadc74",
+    ),
+    "LGPL-2.1": (
+        "113127e6c95b53d8911d31840be1192cf507c0d4a73237edec0a9023ebc8f114",
+        "87bfa47059f2cb433e0f033ede87c5e8e48d5d46496f82dee3bf8c13ce301e3a",
+        "c219bd6a2c317f6faac364f5ac325542fecc43cb2ca3f211b8992b58ac098900",
+    ),
+    "LGPL-3.0": (
+        "9111884d93a72b30a3d024876dab3d755949ac2cfab230268a4169a93b86560c",
+    ),
+    "MPL-1.1": (
+        "08c7dd2cbfb1a4297d564ec452ccff9fec065e2de11b500024d1f3c547100e95",
+    ),
+    "MPL-2.0": (
+        "157c8f63f5d777be3b8f59325f444b8e958812519abbfd68fb08cbbc7fc12250",
+    ),
+}
