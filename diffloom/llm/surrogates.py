@@ -8,7 +8,9 @@ entities get equal surrogates in all documents, without a table of them.
 
 What a hash alone can't promise is checked: the distinct entities are compared
 as a table, and an entity whose surrogate is another's, or is itself a real
-entity of the corpus, tries its next attempt until there is no such case. Only
+entity of the corpus, tries its next attempt until there is no such case. Names
+of all kinds are compared together, and a format whose values are used up grows
+longer with further attempts, so that there always is an end. Only
 entities that needed more than one attempt have to be known when the texts are
 rewritten; they are joined to the documents that hold them.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import materialise, sliced
+from diffloom.llm.common import Scratch, materialise, sliced
 
 # Forms of address with the gender they tell.
 TITLES = {
@@ -42,7 +44,14 @@ SYLLABLES = {
     "GREEK": (("β", "γ", "δ", "θ", "κ", "λ", "μ", "ν", "π", "ρ", "σ", "τ"), ("αλ", "αν", "αρ", "ελ", "εν", "ιλ", "ορ"), {"male": ("ος", "ης", "ας"), "female": ("α", "η", "ία"), "family": ("ίδης", "άκης", "όπουλος")}),
 }
 DIGIT = re.compile(r"[0-9]")
-MOST_ROUNDS = 64
+#: Given names that tell a person's name without a title; none of them is a common word.
+GIVEN = {
+    "male": "Alexander Andrew Antoine Anthony Benjamin Carlos Charles Christian Christopher Daniel David Diego Dimitri Edward Fernando François George Giovanni Hans Heinrich Henry Jacques James Javier Jean Johann John Jorge Joseph José Juan Jürgen Kevin Klaus Louis Luis Manuel Matthew Michael Miguel Nicolas Olivier Pablo Patrick Paul Pedro Peter Philippe Pierre Richard Robert Stefan Thomas Ulrich William Wolfgang".split(),
+    "female": "Alice Amélie Angela Anna Anne Barbara Beatriz Camille Carmen Caroline Catherine Charlotte Christine Claudia Elena Elizabeth Emily Emma Gabriela Gisela Hannah Helen Inés Ingrid Isabel Jane Jennifer Jessica Julia Karin Katharina Laura Linda Lucía Margaret María Maria Mary Monika Nathalie Nicole Patricia Rachel Sabine Sarah Sofía Sophie Susan Susanne Teresa Ursula Valérie Victoria".split(),
+}
+GIVEN_GENDER = {name: gender for gender, names in GIVEN.items() for name in names}
+GIVEN_WORDS = frozenset(GIVEN_GENDER)
+WIDER = 16  # from this attempt on formats of fixed length grow
 RESERVED = "example"  # a label that no registry gives out
 
 # \w leaves out the marks that many scripts write their vowels with
@@ -76,6 +85,8 @@ PATTERNS = (
     ("card", re.compile(r"(?<![\d.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{13,19})(?![\d-])")),
     ("name", re.compile(rf"\b({'|'.join(sorted(GENDER, key=len, reverse=True))})\.? ({_name}(?: {_name}){{0,2}})")),
 )
+#: A given name, another or initials, and a family name. It isn't a pattern of its own, as few texts need it.
+UNTITLED = re.compile(rf"(?<![\w'’-])(({'|'.join(sorted(GIVEN_GENDER, key=len, reverse=True))})(?:-{_name})?(?: [A-Z]\.)*(?: {_name}){{1,2}})")
 
 
 @dataclass(frozen=True)
@@ -104,12 +115,15 @@ def detect(text: str | None) -> list[Entity]:
         return found
     # what a kind can't do without is looked for first: most texts have none of it
     there = {"email": "@" in text, "name": any(t in text for t in GENDER), "number": DIGIT.search(text) is not None}
+    if not GIVEN_WORDS.isdisjoint(re.split(r"[\s-]", text)):
+        for m in UNTITLED.finditer(text):
+            found += _names(m.group(1), m.start(1), GIVEN_GENDER[m.group(2)])
     for kind, pattern in PATTERNS:
         if not there[kind if kind in there else "number"]:
             continue
         for m in pattern.finditer(text):
             if kind == "name":
-                found += _names(m)
+                found += _names(m.group(2), m.start(2), GENDER[m.group(1)])
             elif (canon := _canonical(kind, m.group())) is not None:
                 found.append(Entity(kind, canon, m.start(), m.end(), m.group()))
     found += _again(text, found)
@@ -141,12 +155,14 @@ def _canonical(kind: str, text: str) -> str | None:
     return digits if kind == "ssn" or 13 <= len(digits) <= 19 else None
 
 
-def _names(m: re.Match) -> list[Entity]:
+def _names(name: str, at: int, gender: str) -> list[Entity]:
     """The words of a name by themselves, so that a family name means the same alone and behind a first name."""
-    words = [(re.sub(r"['’][sS]$", "", w.group()), m.start(2) + w.start()) for w in re.finditer(r"\S+", m.group(2))]
-    roles = [GENDER[m.group(1)]] * (len(words) - 1) + ["family"]
+    words = [(re.sub(r"['’][sS]$", "", w.group()), at + w.start()) for w in re.finditer(r"\S+", name)]
+    roles = [gender] * (len(words) - 1) + ["family"]
     out = []
     for (word, start), role in zip(words, roles, strict=True):
+        if word.endswith("."):  # an initial tells little and stays
+            continue
         script = unicodedata.name(word[0], "LATIN").split()[0]
         out.append(Entity(f"name:{role}:{script if script in SYLLABLES or letters(script) else 'LATIN'}", word.lower(), start, start + len(word), word))
     return out
@@ -220,21 +236,24 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         host = _shaped(labels[0], Stream(key, "domain", domain))
         # later attempts lengthen the local part: short shapes can be used up
         return f"{_shaped(local + 'x' * max(0, attempt - 2), s)}@{host}.{RESERVED}.{labels[-1]}"
+    wider = s.digits(attempt - WIDER + 1) if attempt >= WIDER and kind in ("iban", "card", "phone", "ssn") else ""
     if kind == "ip":
+        if attempt >= WIDER:  # four numbers don't suffice: of the range for documentation there is more
+            return "2001:db8:" + ":".join(f"{s.below(1 << 16):x}" for _ in range(6))
         return ".".join(str(s.below(254) + 1) for _ in range(4))
     if kind == "iban":
         body = "".join(s.pick("0123456789") if c.isdigit() else s.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in canon[4:])
         check = 98 - int("".join(str(int(c, 36)) for c in body + canon[:2] + "00")) % 97
-        return f"{canon[:2]}{check:02d}{body}"
+        return f"{canon[:2]}{check:02d}{body}{wider}"
     if kind == "card":
         valid = luhn(canon[:-1]) == int(canon[-1])
         body = canon[0] + s.digits(len(canon) - 2)
-        return body + str((luhn(body) + (0 if valid else 1 + s.below(9))) % 10)
+        return body + str((luhn(body) + (0 if valid else 1 + s.below(9))) % 10) + wider
     if kind == "phone":
         lead = canon[:2] if len(canon) > 10 else "0" if canon[0] == "0" else ""
-        return lead + str(2 + s.below(8)) + s.digits(len(canon) - len(lead) - 1)
+        return lead + str(2 + s.below(8)) + s.digits(len(canon) - len(lead) - 1) + wider
     if kind == "ssn":
-        return s.digits(len(canon))
+        return s.digits(len(canon)) + wider
     _, role, script = kind.split(":")
     if script not in SYLLABLES:
         size = min(max(2, sum(c.isalpha() for c in canon)), 8) + max(0, attempt - 2)
@@ -263,7 +282,7 @@ def dressed(entity: Entity, canon: str) -> str:
             out.append(c)
         else:
             out.append(next(left) if c.isalnum() else c)
-    return "".join(out)
+    return "".join([*out, *left])  # what a wider form has more
 
 
 def replaced(text: str | None, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str | None, int]:
@@ -279,17 +298,16 @@ def replaced(text: str | None, key: bytes, attempts: dict[tuple[str, str], int])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, canon), once per document and batch."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """(h, kind, canon), once per row: h is the hash of the text that holds the entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = [(i, *x) for i, t in enumerate(batch.column(1)) for x in sorted({(e.kind, e.canon) for e in detect(t.as_py())})]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], ["doc_id", "kind", "canon"]
+                [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], ["h", "kind", "canon"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, kind string, canon string")
+    return docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "h long, kind string, canon string")
 
 
 def attempts_of(entities: DataFrame, key: bytes) -> DataFrame:
@@ -297,27 +315,29 @@ def attempts_of(entities: DataFrame, key: bytes) -> DataFrame:
 
     Of entities with one surrogate that of the fewest attempts keeps it, then
     the smallest canonical form. So who has a surrogate keeps it in later
-    rounds, and each round only moves those without. Fails if a format has too
-    few values for the entities of its kind.
+    rounds, and each round only moves those without. Names of all kinds are
+    compared with each other.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             made = [surrogate(key, k.as_py(), c.as_py(), n.as_py()) for k, c, n in zip(*batch.columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "canon", "attempt", "made"])
 
-    now = materialise(entities.select("kind", "canon", F.lit(0).alias("attempt")), "entities")
-    real = now.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real"))
-    for _ in range(MOST_ROUNDS):
-        made = materialise(now.mapInArrow(make, "kind string, canon string, attempt int, made string"), "surrogates")
-        first = made.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon")).alias("owner"), F.count(F.lit(1)).alias("n"))
-        judged = made.join(first.where("n > 1"), ["kind", "made"], "left").join(real, ["kind", "made"], "left")
-        lost = F.col("real").isNotNull() | (F.col("owner.canon") != F.col("canon"))
-        judged = materialise(judged.select("kind", "canon", "attempt", F.coalesce(lost, F.lit(False)).alias("lost")), "judged")
-        if judged.where("lost").isEmpty():
-            return judged.where("attempt > 0").select("kind", "canon", "attempt")
-        now = judged.select("kind", "canon", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
-    raise ValueError(f"after {MOST_ROUNDS} attempts entities are without a surrogate of their own: a kind has about as many entities as its format has values")
+    space = F.substring_index("kind", ":", 1).alias("space")
+    with Scratch(entities.sparkSession) as scratch:
+        now = scratch(entities.select("kind", "canon", F.lit(0).alias("attempt")), "entities")
+        real = now.select(space, F.col("canon").alias("made"), F.lit(True).alias("real")).distinct()
+        while True:
+            made = scratch(now.mapInArrow(make, "kind string, canon string, attempt int, made string").select("*", space), "surrogates")
+            first = made.groupBy("space", "made").agg(F.min(F.struct("attempt", "canon", "kind")).alias("owner"), F.count(F.lit(1)).alias("n"))
+            judged = made.join(first.where("n > 1"), ["space", "made"], "left").join(real, ["space", "made"], "left")
+            lost = F.col("real").isNotNull() | (F.col("owner.canon") != F.col("canon")) | (F.col("owner.kind") != F.col("kind"))
+            judged = scratch(judged.select("kind", "canon", "attempt", F.coalesce(lost, F.lit(False)).alias("lost")), "judged")
+            scratch.drop(made)
+            if judged.where("lost").isEmpty():
+                return materialise(judged.where("attempt > 0").select("kind", "canon", "attempt"), "attempts")
+            now = judged.select("kind", "canon", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
@@ -325,17 +345,20 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
 
     Null texts stay null, texts without entities stay as they are, very long
     texts are searched whole. Equal entities have equal surrogates in all rows,
-    different ones of a kind have different ones, and none is an entity of the
-    input. A name is found by a title, and in the same text then without one; names
-    without any title in their text are not detected. Repeated rows are rewritten alike; other columns are ignored; no
+    different ones of a kind have different ones (names of all kinds), and none is
+    an entity of the input. A name is found by a title or a frequent given name,
+    and its words then wherever they stand in the same text; names with neither
+    in their text are not detected. Repeated rows are rewritten alike, and rows
+    that share or lack an id by their own texts; other columns are ignored; no
     rows, no result.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    met = materialise(occurrences(docs), "occurrences")
-    again = materialise(attempts_of(met.select("kind", "canon").distinct(), key), "attempts")
-    special = met.join(again, ["kind", "canon"]).distinct().groupBy(F.col("doc_id").alias("special_id"))
-    special = materialise(special.agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("special")), "special")
-    rows = docs.select("doc_id", "text").join(special, F.col("doc_id").eqNullSafe(F.col("special_id")), "left")
+    with Scratch(docs.sparkSession) as scratch:
+        met = scratch(occurrences(docs), "occurrences")
+        again = attempts_of(met.select("kind", "canon").distinct(), key)
+        special = met.join(again, ["kind", "canon"]).distinct().groupBy(F.col("h").alias("special_h"))
+        special = materialise(special.agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("special")), "special")  # at most a text's entities each
+    rows = docs.select("doc_id", "text").join(special, F.xxhash64("text") == F.col("special_h"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
