@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from diffloom.llm.common import sliced
+from diffloom.llm.common import Scratch, sliced
 
 BUCKETS = 1 << 14
 #: Frequent function words of the languages expected.
@@ -103,8 +103,12 @@ def by_top_word(f: Facts) -> int:
 
 
 def by_variety(f: Facts) -> int:
-    """Distinct words; long texts repeat more of theirs."""
-    return _between(len(f.tally) / f.n, 0.12, 0.25) if 50 <= f.n <= 2000 else 0
+    """Distinct words, counted anew about every 1,000 words, since long texts repeat more of theirs. It votes on all lengths: silence would tell short texts."""
+    if not f.n:
+        return 0
+    parts = max(1, f.n // 1000)
+    cuts = [f.n * k // parts for k in range(parts + 1)]
+    return _between(sum(len(set(f.words[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)) / f.n, 0.12, 0.25)
 
 
 def by_function_words(f: Facts) -> int:
@@ -232,9 +236,13 @@ class QualityModel:
     threshold: float
 
     @classmethod
-    def fit(cls, docs: DataFrame, sample_rows: int = 8_192, threshold: float = 0.35, text_col: str = "text") -> QualityModel:
-        """Labellers' accuracies from all rows, the scorer from about sample_rows of them, chosen by a hash of the text.
+    def fit(cls, docs: DataFrame, sample_rows: int = 8_192, sample_entries: int = 12_000_000, threshold: float = 0.35, text_col: str = "text") -> QualityModel:
+        """Labellers' accuracies from all rows, the scorer from a sample of them, chosen by a hash of the text.
 
+        The sample has about sample_rows texts, twice as many at most, and
+        sample_entries values in all (100 MB as set here; a text has 16,387 at
+        most); equal texts count once. Texts stay on the executors, which turn
+        them into values before the sample is ordered and cut.
         threshold: texts that score less are rejected. It is below one half so
         that doubtful texts stay.
         """
@@ -253,23 +261,27 @@ class QualityModel:
         upto = int((1 << 30) * min(1.0, sample_rows / max(1.0, counts.sum())))
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in sliced(batches):
-                texts = [t.as_py() for t in batch.column(0)]
+            for batch in sliced(batches, 128):
+                texts = [t.as_py() for t in batch.column(2)]
                 good = [posterior[pattern(votes(t))] for t in texts]
                 vectors = [hashed(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(good, pa.float64()), pa.array([v[0].astype(np.int32) for v in vectors], pa.list_(pa.int32())), pa.array([v[1].astype(np.float32) for v in vectors], pa.list_(pa.float32()))],
-                    ["good", "at", "value"],
-                )
-
-        # equal texts count once and the hash decides the order: the sample does not depend on how rows are dealt
-        chosen = keyed.where(F.col("h") < upto).groupBy(F.xxhash64(text_col).alias("x")).agg(F.first(text_col).alias(text_col), F.first("h").alias("h"))
-        made = chosen.select(text_col, "h").orderBy("h").limit(2 * sample_rows).mapInArrow(features, "good double, at array<int>, value array<float>").toArrow()
+                values = [pa.array([v[0].astype(np.int32) for v in vectors], pa.list_(pa.int32())), pa.array([v[1].astype(np.float32) for v in vectors], pa.list_(pa.float32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(v[0]) for v in vectors], pa.int64()), pa.array(good, pa.float64()), *values], ["h", "x", "n", "good", "at", "value"])
+
+        # the hash decides the order: the sample does not depend on how rows are dealt
+        chosen = keyed.where(F.col("h") < upto).groupBy(F.xxhash64(text_col).alias("x")).agg(F.first("h").alias("h"), F.first(text_col).alias(text_col))
+        with Scratch(docs.sparkSession) as scratch:
+            made = scratch(chosen.select("h", "x", text_col).mapInArrow(features, "h long, x long, n long, good double, at array<int>, value array<float>"), "features")
+            sizes = made.select("h", "x", "n").orderBy("h", "x").limit(2 * sample_rows).toArrow()
+            within = np.flatnonzero(np.cumsum(sizes.column("n").to_numpy()) <= sample_entries)
+            last = (sizes.column("h")[int(within[-1])].as_py(), sizes.column("x")[int(within[-1])].as_py()) if len(within) else (-1, 0)
+            upto_last = (F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("x") <= last[1]))
+            table = made.where(upto_last).select("good", "at", "value").toArrow()
         # flat arrays straight from Arrow: thousands of small ones would stay in the driver's memory
-        at, value = (made.column(c).combine_chunks() for c in ("at", "value"))
+        at, value = (table.column(c).combine_chunks() for c in ("at", "value"))
         rows = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(at.offsets.to_numpy()) if len(at) else 0)
         flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (at, value)]
-        return cls(labels, Scorer.fit(rows, *flat, np.array(made.column("good"), float)), threshold)
+        return cls(labels, Scorer.fit(rows, *flat, np.array(table.column("good"), float)), threshold)
 
     def judge(self, text: str | None) -> tuple[float, bool]:
         """Score, and whether the text is kept. A text without words is not."""
@@ -297,7 +309,11 @@ def classify(docs: DataFrame, model: QualityModel | None = None, **options) -> D
 
 
 def keep_good(docs: DataFrame, model: QualityModel | None = None, **options) -> DataFrame:
-    """The rows of docs that the model keeps, with all their columns."""
+    """The rows of docs that the model keeps, with all their columns, of any name and type.
+
+    Null, empty and white texts go; long texts are judged whole; rows that
+    repeat are judged alike; no rows, no result.
+    """
     model = model or QualityModel.fit(docs, **options)
     at = docs.columns.index("text")
 

@@ -1,3 +1,6 @@
+import math
+from collections import defaultdict
+
 import numpy as np
 from rows import found, no_documents, odd_documents
 
@@ -46,3 +49,67 @@ def test_odd_rows(spark):
 def test_runs_agree(spark):
     model = [quality.QualityModel.fit(spark.read.parquet(f"{DATA}/documents.parquet").repartition(n)) for n in (1, 3)]
     np.testing.assert_allclose(model[0].scorer.weights, model[1].scorer.weights)
+
+
+def plain_model(texts, rounds=300):
+    """Posteriors text by text, and a scorer over dictionaries: the model without pattern counts, arrays or Spark."""
+    votes = {t: quality.votes(t) for t in set(texts)}
+    labellers = range(len(quality.LABELLERS))
+    good = {t: 1 / (1 + math.exp(-2.0 * (sum(votes[t]) + 0.5))) for t in votes}
+    rates, prior = [[[1 / 3] * 3 for _ in labellers] for _ in (0, 1)], 0.8
+    for _ in range(rounds):
+        new = [[[sum((good[t] if y else 1 - good[t]) for t in texts if votes[t][j] == v) + 0.5 for v in (-1, 0, 1)] for j in labellers] for y in (0, 1)]
+        share = lambda rows: [[x / sum(r) for x in r] for r in rows]
+        new = [share(rows) for rows in new]
+        for j in labellers:
+            new[0][j][0] = max(new[0][j][0], 1.5 * new[1][j][0])
+            new[1][j][2] = max(new[1][j][2], new[0][j][2])
+        new = [share(rows) for rows in new]
+        share_good = min(0.98, max(0.02, (sum(good[t] for t in texts) + 0.8) / (len(texts) + 1)))
+        moved = max(abs(a - b) for y in (0, 1) for j in labellers for a, b in zip(new[y][j], rates[y][j], strict=True)) + abs(share_good - prior)
+        rates, prior = new, share_good
+        for t in votes:
+            evidence = math.log(prior / (1 - prior)) + sum(math.log(rates[1][j][v + 1] / rates[0][j][v + 1]) for j, v in enumerate(votes[t]))
+            good[t] = 1 / (1 + math.exp(-evidence))
+        if moved < 1e-7:
+            break
+    vectors = {t: list(zip(*(a.tolist() for a in quality.hashed(t)), strict=True)) for t in votes}
+    w, speed, bias, speed_b = defaultdict(float), defaultdict(float), 0.0, 0.0
+    score = lambda t: 1 / (1 + math.exp(-(sum(v * w[k] for k, v in vectors[t]) + bias)))
+    for _ in range(60):
+        slope = {t: (score(t) - good[t]) / len(votes) for t in votes}
+        step = defaultdict(float)
+        for t, d in slope.items():
+            for k, v in vectors[t]:
+                step[k] += v * d
+        for k in {*step, *w}:
+            speed[k] = 0.9 * speed[k] - 30.0 * (step[k] + 1e-5 * w[k])
+        for k in speed:
+            w[k] += speed[k]
+        speed_b = 0.9 * speed_b - 3.0 * sum(slope.values())
+        bias += speed_b
+    return {t: score(t) for t in votes}
+
+
+def test_query_equals_a_plain_version(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    want = plain_model([r["text"] or "" for r in docs])
+    rows = {r["doc_id"]: r for r in QUERIES["op5_weak_label_quality"](spark, DATA).collect()}
+    assert len(rows) == len(docs)
+    for r in docs:
+        score = want[r["text"] or ""]
+        assert abs(rows[r["doc_id"]]["score"] - score) < 1e-4
+        assert abs(score - 0.35) < 1e-4 or rows[r["doc_id"]]["kept"] == (score >= 0.35 and bool((r["text"] or "").split()))
+
+
+def test_the_sample_is_bounded_by_its_values(spark):
+    df = spark.createDataFrame([(i, f"text number {i} of a few short ones") for i in range(200)], "doc_id long, text string")
+    model = quality.QualityModel.fit(df, sample_entries=500)
+    assert 0 < np.count_nonzero(model.scorer.weights) <= 500
+    assert not quality.QualityModel.fit(df, sample_entries=3).scorer.weights.any()
+
+
+def test_long_texts_are_judged_by_their_variety_too():
+    words = [f"w{i}" for i in range(700)]
+    assert quality.by_variety(quality.Facts(" ".join(words * 20))) == 1
+    assert quality.by_variety(quality.Facts(" ".join(words[:20] * 700))) == -1
