@@ -303,3 +303,17 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = find(numbered, row=row, **options)
     dropped = materialise(found.where(~F.col("first")).select(F.col("row").alias(row)), "dropped")
     return numbered.join(dropped, row, "left_anti").drop(row)
+
+
+def find_sql(table: str = "documents", percent: int = 80) -> str:
+    """doc_id, n_shingles, component_id, kept of find() for a table with distinct ids: all pairs that share a shingle of two words, fit for small tables."""
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM {table}),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, u.b FROM reach r JOIN u ON u.a = r.b),
+m AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.m AS component_id, m.m = w.doc_id AS kept FROM w JOIN m ON m.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id"""

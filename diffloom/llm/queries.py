@@ -73,4 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_licence_scan": licences.scan_sql(),
     "op2_threshold_topk": topk.search_sql(),
+    "op7_warc_dictionary": warc.archive_sql(),
+    "op9_minmax_near_duplicates": neardup.find_sql(),
 }

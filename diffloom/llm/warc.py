@@ -8,8 +8,11 @@ is trained on a bounded sample of the records to be archived.
 Executors have no file system in common but Spark's, so the archives go through
 its text writer, one row per frame. That writer puts a separator behind each
 row; the separator chosen here is an empty skippable frame, which every
-Zstandard reader passes over. Archives are read back whole by the binary file
-source, one archive per row, and parsed record by record.
+Zstandard reader passes over. It also begins a new file after a set number of
+rows: a dictionary comes first in each, and an archive that has its bytes is
+filled up with empty rows. So an archive is bounded, however much a task writes.
+Archives are read back whole by the binary file source, one archive per row,
+and parsed record by record.
 """
 
 from __future__ import annotations
@@ -24,12 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import materialise, scratch_path, sliced
+from diffloom.llm.common import Scratch, scratch_path, sliced
 
 DICT_MAGIC = 0x184D2A5D  # fixed value: the skippable frame of an archive's dictionary
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0)
 REVISIT_LEAST = 100  # payloads below this many bytes are always archived whole
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+ARCHIVE_ROWS, ARCHIVE_BYTES = 8_192, 64_000_000  # an archive has at most so many frames, and bytes but for its last record
 EPOCH = "1970-01-01T00:00:00Z"  # a fixed date: equal pages give equal archives
 
 
@@ -73,15 +77,18 @@ def train_dictionary(pages: DataFrame, rows: int = 400, row_bytes: int = 16_384,
     """A Zstandard dictionary from `rows` records at most, the ones of the smallest hashes.
 
     A bound on the hash lets about twice as many through, however many pages
-    and tasks there are, and repeated pages count once. At most row_bytes of
-    each go into training, so the driver gets about 2 * rows * row_bytes bytes
-    (13 MB as set here). Too few rows to train on give
-    a raw dictionary of their own bytes; none, an empty one.
+    and tasks there are, and repeated pages count once. Of each a slice of at
+    most row_bytes goes into training, from a place in the whole payload that
+    the hash decides, so the driver gets at most rows * row_bytes bytes (7 MB as
+    set here). Too few rows to train on give a raw dictionary of their own
+    bytes; none, an empty one.
     """
     total = pages.count()
     h = F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 40))
     some = pages.where((F.length("html") > 0) & (h < int((1 << 40) * min(1.0, 2 * rows / max(1, total)))))
-    some = some.select(h.alias("h"), F.struct("page_id", "url", F.substring(F.encode("html", "UTF-8"), 1, row_bytes).alias("payload")).alias("page"))
+    data = F.encode("html", "UTF-8")
+    at = F.pmod(F.xxhash64("html"), F.greatest(F.lit(0), F.octet_length("html") - row_bytes) + 1).cast("int") + 1
+    some = some.select(h.alias("h"), F.struct("page_id", "url", F.substring(data, at, F.lit(row_bytes)).alias("payload")).alias("page"))
     some = some.groupBy("h").agg(F.min("page").alias("page")).orderBy("h").limit(rows).select("page.*").collect()
     samples = [record(r["page_id"], r["url"], p := bytes(r["payload"]), hashlib.sha256(p).hexdigest(), None) for r in some]
     if not samples:
@@ -102,45 +109,68 @@ def revisits(pages: DataFrame) -> DataFrame:
     return long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
 
 
-def write(pages: DataFrame, path: str, level: int = 6) -> None:
-    """Archive pages (page_id, url, html) under path, one archive per task.
+def write(pages: DataFrame, path: str, level: int = 6, most_rows: int = ARCHIVE_ROWS, most_bytes: int = ARCHIVE_BYTES) -> None:
+    """Archive pages (page_id, url, html) under path, in one archive or more per task.
 
     A null html is an empty payload. Of equal payloads of 100 bytes or more the
     smallest page_id is archived, the others become revisits that refer to it;
-    rows that repeat a page_id and its html are archived as often as they occur.
+    rows that repeat a page_id and its html are archived as often as they occur,
+    and null ids, of which none is the smallest, refer to the page that has one.
     The payloads move once at most, to meet their digest's first page; a
     digest that a third of the pages share is split by the skew join, and no
-    payload moves if repeated digests are few enough to be broadcast.
+    payload moves if repeated digests are few enough to be broadcast. Other
+    columns are ignored; no pages, no archive.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     content = train_dictionary(pages)
-    firsts = materialise(revisits(pages), "warc-first")
-    rows = pages.withColumn("digest", F.sha2("html", 256)).join(firsts, "digest", "left")
-    rows = rows.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+    head = struct.pack("<II", DICT_MAGIC, len(content)) + content if content else b""
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = struct.pack("<II", DICT_MAGIC, len(content)) + content
         press = zstandard.ZstdCompressor(level, dict_data=_dictionary(content)) if content else zstandard.ZstdCompressor(level)
-        for batch in sliced(batches):
-            out, held = ([head] if head else []), 0
-            head = b""
+        rows = held = sent = 0
+        out: list[bytes] = []
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+        for batch in sliced(batches, 64):
             for values in zip(*batch.columns, strict=True):
+                if rows == 0:
+                    out.append(head)
+                    rows, held = 1, len(head)
                 page_id, url, html, digest, first = (v.as_py() for v in values)
                 out.append(press.compress(record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, first)))
-                held += len(out[-1])
-                if held > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-
-    binary = rows.mapInArrow(frames, "frame binary")
-    lines = binary.select(F.col("frame").cast("string").alias("value"))
-    lines.write.option("lineSep", SEPARATOR.decode()).option("compression", "none").text(path)
+                rows, held, sent = rows + 1, held + len(out[-1]), sent + len(out[-1])
+                if rows < most_rows and held >= most_bytes:
+                    out += [b""] * (most_rows - rows)
+                    rows = most_rows
+                if rows == most_rows:
+                    rows = 0
+                if sent > 8_000_000:
+                    yield batch_of()
+                    out, sent = [], 0
+        yield batch_of()
+
+    with Scratch(pages.sparkSession) as scratch:
+        firsts = scratch(revisits(pages), "warc-first")
+        rows = pages.withColumn("digest", F.sha2("html", 256)).join(firsts, "digest", "left")
+        rows = rows.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
+        lines = rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
+        lines.write.option("lineSep", SEPARATOR.decode()).option("compression", "none").option("maxRecordsPerFile", most_rows).text(path)
+
+
+def _frame(press: zstandard.ZstdDecompressor, data: memoryview, at: int) -> tuple[bytes, int]:
+    """The content of the frame that begins there, and where it ends. Only the last piece read can reach beyond the frame."""
+    part, out, step = press.decompressobj(), [], 1 << 13
+    while not part.eof:
+        if at >= len(data):
+            raise ValueError("an archive that ends within a record")
+        piece = data[at : at + step]
+        out.append(part.decompress(piece))
+        at, step = at + len(piece), min(2 * step, 1 << 22)
+    return b"".join(out), at - len(part.unused_data)
 
 
 def records(data: bytes) -> Iterator[dict]:
-    """Parsed records of one archive. Frames carry their content's size, so they are taken one by one."""
-    at, content = 0, b""
+    """Parsed records of one archive, in one pass over it."""
+    at, content, view = 0, b"", memoryview(data)
     press = None
     while at < len(data):
         magic, size = struct.unpack_from("<II", data, at)
@@ -150,10 +180,8 @@ def records(data: bytes) -> Iterator[dict]:
             at += 8 + size
             continue
         press = press or zstandard.ZstdDecompressor(dict_data=_dictionary(content) if content else None)
-        part = press.decompressobj()
-        raw = part.decompress(memoryview(data)[at:])
+        raw, at = _frame(press, view, at)
         yield parse(raw)
-        at = len(data) - len(part.unused_data)
 
 
 def read_back(spark, path: str) -> DataFrame:
@@ -187,3 +215,11 @@ def archive(pages: DataFrame, name: str = "warc") -> DataFrame:
     path = scratch_path(pages.sparkSession, name)
     write(pages, path)
     return read_back(pages.sparkSession, path)
+
+
+def archive_sql(table: str = "pages") -> str:
+    """What archive() returns of a table whose page ids are distinct."""
+    return f"""WITH d AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM {table}),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= {REVISIT_LEAST} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)"""

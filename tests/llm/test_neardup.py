@@ -9,7 +9,8 @@ from rows import found, no_documents, odd_documents
 from conftest import DATA
 from diffloom.llm import components, minmax, neardup
 from diffloom.llm.common import Scratch
-from diffloom.llm.queries import QUERIES
+from diffloom.llm.queries import ORACLE_SQL, QUERIES
+from duck import connect, same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -52,6 +53,10 @@ def test_query_equals_brute_force(spark):
     assert sorted(rows) == expected(texts)
 
 
+def test_query_equals_sql(spark):
+    same(QUERIES["op9_minmax_near_duplicates"](spark, DATA), connect(DATA), ORACLE_SQL["op9_minmax_near_duplicates"])
+
+
 def families(seed, n, words=60):
     """Copies of a few texts with one to a dozen words changed: many pairs are near the threshold."""
     rng = random.Random(seed)
