@@ -8,11 +8,12 @@ from functools import cached_property, reduce
 from time import perf_counter
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from diffloom.functions.canon import batch_key
-from diffloom.functions.names import col
+from diffloom.functions.names import chunks, col
 from diffloom.operators import cells, rollup, screen, triage
 from diffloom.operators.joins import on_columns
 from diffloom.sources.tables import column_groups, column_pairs, resolve, schema_of, validate
@@ -135,21 +136,35 @@ class Comparison:
         """Keys that occur more than once, left and right. Such rows match all their counterparts."""
         return tuple(triage.duplicate_keys(h, self.spec) for h in self._hashed)
 
+    def _among(self, batches: DataFrame) -> Column:
+        """A predicate on the batch column for the (batch-sized) list of batches, as constants that scans can use."""
+        kind, b = self.batch_type, col(self.spec.batch)
+        shown = F.unix_micros(b) if isinstance(kind, T.TimestampType) else b.cast("string") if isinstance(kind, T.TimestampNTZType) else b
+        values = [r[0] for r in batches.select(shown).distinct().collect()]
+        make = F.timestamp_micros if isinstance(kind, T.TimestampType) else lambda v: v.cast(kind)
+        return b.isin(*(make(F.lit(v)) for v in values)) if values else F.lit(False)
+
     @cached_property
-    def _joined(self) -> list[tuple[DataFrame, list, list[str]]]:
+    def _joined(self) -> list[tuple[DataFrame, list[cells.Lot]]]:
         """The changed rows, read once for each pass over columns of changed groups."""
+        keys, spec = [col(k) for k in self.spec.keys], self.spec
         changed = {r["group_index"] for r in self._group_changes.select("group_index").distinct().collect()}  # at most one row per group
+        if not changed:
+            return []
+        batches = self._among(self._group_changes)
+        rows = self._reconciled.where((F.col("row_status") == "matched") & ~F.col("row_identical"))
+        masks = [c for c in rows.columns if c.startswith("nulls_")]
         # a key that occurs more than once on a side would come back once for each of its pairs
-        keys = self.changed_keys.groupBy(*(col(k) for k in self.spec.keys)).agg(*(F.min(f"gh_{i}_match").alias(f"gh_{i}_match") for i in range(len(self.groups))))
+        rows = rows.groupBy(*keys).agg(*(F.min(f"gh_{i}_match").alias(f"gh_{i}_match") for i in range(len(self.groups))), *(F.bit_and(m).alias(m) for m in masks))
         out = []
-        for part in cells.passes(self.groups, changed, self.spec.columns_per_pass):
-            pairs, flags = [p for p, _ in part], [f for _, f in part]
-            rows = cells.of_flags(keys, flags).select(*(col(k) for k in self.spec.keys), *dict.fromkeys(flags))
-            out.append((self._keep(cells.changed_pairs(self.left_rows, self.right_rows, rows, pairs, self.spec)), pairs, flags))
+        for part in chunks(cells.places(self.groups, changed), spec.columns_per_pass):
+            some, flags = cells.lots(part), list(dict.fromkeys(x.flag for x in part))
+            wanted = cells.of_flags(rows, flags).select(*keys, *flags, *masks)
+            out.append((self._keep(cells.changed_rows(self.left_rows, self.right_rows, wanted, some, batches, spec)), some))
         return out
 
     def _union(self, make: Callable) -> DataFrame | None:
-        parts = [make(df, pairs, flags, self.spec) for df, pairs, flags in self._joined]
+        parts = [make(df, some, self.spec) for df, some in self._joined]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     @cached_property
@@ -166,10 +181,8 @@ class Comparison:
     def noisy_columns(self) -> DataFrame:
         return rollup.noisy_columns(self.summary_of_all, self.spec.noisy_threshold)
 
-    @property
-    def mismatch_detail(self) -> DataFrame:
-        """Every differing cell."""
-        found = self._union(cells.mismatches)
+    def _mismatches(self, most: int | None = None) -> DataFrame:
+        found = self._union(lambda df, some, spec: cells.mismatches(df, some, spec, most))
         if found is not None:
             return found
         kinds = schema_of(self.left_rows)
@@ -178,7 +191,12 @@ class Comparison:
             [], f"{keys}, column string, `{self.spec.left_label}` string, `{self.spec.right_label}` string, null_mismatch boolean, diff double, abs_diff double, pct_diff double, pct_diff_pct double, tolerance_used double"
         )
 
+    @property
+    def mismatch_detail(self) -> DataFrame:
+        """Every differing cell."""
+        return self._mismatches()
+
     @property
     def mismatch_sample(self) -> DataFrame:
         """The first differing cells of each batch and column."""
-        return cells.sample(self.mismatch_detail, self.spec)
+        return self._mismatches(self.spec.sample_per_column)
