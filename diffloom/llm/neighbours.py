@@ -148,6 +148,7 @@ def search(
     sample = matrix(some, width) if len(some) else np.zeros((0, width))
     sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
     forest = Forest.fit(sample, trees, max(8, -(-len(sample) // leaves)))
+    leaves = max(len(t.shares) for t in forest.trees)  # halving gives up to twice as many
     blocks = max(1, -(-n // (leaves * block_rows)))
     number = max(1, trees * leaves * blocks)
 
@@ -160,7 +161,7 @@ def search(
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             block = batch.column(2).to_numpy() % blocks
             for t, tree in enumerate(forest.trees):
-                key = (t * leaves + tree.leaf_of(unit) % leaves) * blocks + block
+                key = (t * leaves + tree.leaf_of(unit)) * blocks + block
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(x), bool)), batch.column(0), batch.column(1)], ["key", "asks", "id", "embedding"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +171,7 @@ def search(
                 continue
             x = matrix(batch.column(1), width)
             taken = forest.choose(x / np.linalg.norm(x, axis=1, keepdims=True), share)
-            pairs = [(r, (t * leaves + leaf % leaves) * blocks + b) for r, some in enumerate(taken) for t, leaf in some for b in range(blocks)]
+            pairs = [(r, (t * leaves + leaf) * blocks + b) for r, some in enumerate(taken) for t, leaf in some for b in range(blocks)]
             for at in range(0, len(pairs), 20_000):
                 own, key = np.array(pairs[at : at + 20_000], np.int64).T
                 own = pa.array(own)

@@ -87,19 +87,22 @@ def quantised(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.floor(F.lit(64.0) * x.cast("double")))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, block_rows: int = 4_096) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, block_rows: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which `queries` holds, the k other rows of the largest inner products.
 
     vectors: (vec_id, embedding of integers). Vectors that are null or hold
     null or non-finite components (test them before quantising), and rows
     without an id, take no part; shorter vectors count as filled with zeros. Of
     rows that repeat an id the smallest vector counts. Fewer rows than k give
-    all of them; no rows, none. Scores beyond 64 bits are cut to 64 bits.
+    all of them; no rows, none. Scores beyond 64 bits are cut to 64 bits: for 64
+    dimensions that takes components above 2^23 before they are quantised.
     """
     spark = vectors.sparkSession
     facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width"), F.count_if(queries).alias("asked")).first()
     width = facts["width"] or 1
-    blocks, chunks = max(1, -(-facts["n"] // block_rows)), max(1, -(-facts["asked"] // (16 * block_rows)))
+    # every query meets every block, so blocks are as large as memory allows (some 2.5 KB a row at 64 dimensions), unless cores would idle
+    spread = min(2 * spark.sparkContext.defaultParallelism, -(-facts["n"] // 1024))
+    blocks, chunks = max(1, -(-facts["n"] // block_rows), spread), max(1, -(-facts["asked"] // 65_536))
     tasks = min(blocks * chunks, max(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def matrix(column: pa.Array) -> np.ndarray:
