@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from contextlib import contextmanager
 from functools import cached_property, reduce
@@ -20,6 +21,9 @@ from diffloom.sources.tables import column_groups, column_pairs, resolve, schema
 from diffloom.spec import CompareSpec
 
 
+logger = logging.getLogger(__name__)
+
+
 class Comparison:
     """Every result is a property, computed when first asked for.
 
@@ -49,8 +53,13 @@ class Comparison:
         self.close()
 
     def close(self) -> None:
+        """Let go of what is kept. Results can still be read, at the cost of computing it again; a session that is gone already is no error."""
         while self._kept:
-            self._kept.pop().unpersist()
+            kept = self._kept.pop()
+            try:
+                kept.unpersist()
+            except Exception:
+                logger.warning("an intermediate table could not be let go", exc_info=True)
 
     def _keep(self, df: DataFrame) -> DataFrame:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from diffloom.operators.rollup import share
 
 
-def top_columns(total: DataFrame, n: int = 10) -> DataFrame:
-    """The n columns with the most mismatches, ties by name."""
+def top_columns(total: DataFrame, n: int = 10, source_label: str | None = None) -> DataFrame:
+    """The n columns with the most mismatches, ties by name; of persisted totals only those of a source, if one is named."""
+    if source_label is not None:
+        total = total.where(F.col("source_label") == source_label)
     return total.orderBy(F.desc("mismatch_count"), "column").limit(n)
 
 
@@ -45,6 +47,11 @@ def scaling_fit(runs: DataFrame) -> DataFrame:
     return runs.groupBy("label").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
+def scaling_fit_by_cells(runs: DataFrame) -> DataFrame:
+    """runs (label, n_rows, n_columns, seconds) -> label, slope, intercept, r2 over rows times columns."""
+    return scaling_fit(runs.withColumn("n_rows", F.col("n_rows").cast("double") * F.col("n_columns")))
+
+
 def phase_table(timings: DataFrame) -> DataFrame:
     """timings (run_id, phase, seconds) -> a row per run with a column per phase, and the total."""
     return timings.groupBy("run_id").pivot("phase").agg(F.sum("seconds")).join(timings.groupBy("run_id").agg(F.sum("seconds").alias("total_seconds")), "run_id")

@@ -11,6 +11,7 @@ from diffloom.operators import profile as profiles
 from diffloom.operators import triage
 from diffloom.oracle import Oracle, OracleColumn
 from diffloom.plans import recipes
+from diffloom.plans.artifacts import latest_status
 from diffloom.plans.compare import Comparison
 from diffloom.sources import pairs
 from diffloom.sources.tables import newest_batches
@@ -26,10 +27,29 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_open: list[Comparison] = []
+
+
+def _compare(spark: SparkSession, spec: CompareSpec) -> Comparison:
+    _open.append(Comparison(spark, spec))
+    return _open[-1]
+
+
+def _alone(query: Query) -> Query:
+    """The query, closing the comparisons of the one before it: results are lazy, so none can close its own."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        while _open:
+            _open.pop().close()
+        return query(spark, sf_dir)
+
+    return run
+
+
 def orders(spark: SparkSession, sf_dir: str, later: bool = False, **options) -> Comparison:
     left, right = pairs.orders_pair(spark, _read(spark, sf_dir, "orders"), later)
     given = {"tolerances": {"o_totalprice": TOLERANCE}, "critical": ("o_totalprice", "o_orderstatus"), "noisy_threshold": NOISE} | options
-    return Comparison(spark, CompareSpec(left, right, ("o_orderkey", "batch"), "batch", **given))
+    return _compare(spark, CompareSpec(left, right, ("o_orderkey", "batch"), "batch", **given))
 
 
 def _orders_oracle(later: bool = False, grouped: bool = False, tolerance: float = TOLERANCE, normalised: bool = False, only: tuple[str, ...] | None = None) -> Oracle:
@@ -50,7 +70,7 @@ def _status(c: Comparison) -> DataFrame:
 def _events(spark: SparkSession, sf_dir: str, **options) -> Comparison:
     events = _read(spark, sf_dir, "events")
     sides = [spark.sql(sql, events=events) for sql in (pairs.EVENTS_LEFT, pairs.EVENTS_RIGHT)]
-    return Comparison(spark, CompareSpec(*sides, ("event_id", "day"), "day", **{"critical": ("value",)} | options))
+    return _compare(spark, CompareSpec(*sides, ("event_id", "day"), "day", **{"critical": ("value",)} | options))
 
 
 EVENTS_ORACLE = Oracle(
@@ -64,7 +84,7 @@ EVENTS_ORACLE = Oracle(
 
 def _customers(spark: SparkSession, sf_dir: str) -> Comparison:
     customer = _read(spark, sf_dir, "customer")
-    return Comparison(spark, CompareSpec(customer, spark.sql(pairs.CUSTOMER_RIGHT, customer=customer), ("c_custkey", "c_mktsegment"), "c_mktsegment", ("c_acctbal",)))
+    return _compare(spark, CompareSpec(customer, spark.sql(pairs.CUSTOMER_RIGHT, customer=customer), ("c_custkey", "c_mktsegment"), "c_mktsegment", ("c_acctbal",)))
 
 
 CUSTOMER_ORACLE = Oracle(
@@ -78,7 +98,7 @@ CUSTOMER_ORACLE = Oracle(
 
 def _parts(spark: SparkSession, sf_dir: str) -> Comparison:
     part = _read(spark, sf_dir, "part")
-    return Comparison(spark, CompareSpec(part, spark.sql(pairs.PART_RIGHT, part=part), ("p_partkey", "p_size"), "p_size", ("p_type",)))
+    return _compare(spark, CompareSpec(part, spark.sql(pairs.PART_RIGHT, part=part), ("p_partkey", "p_size"), "p_size", ("p_type",)))
 
 
 PART_ORACLE = Oracle(
@@ -99,7 +119,7 @@ def null_key_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that are null on either side meet nothing."""
     left, right = (df.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 70 != 5, F.col("o_orderkey"))) for df in pairs.orders_pair(spark, _read(spark, sf_dir, "orders")))
     spec = CompareSpec(left, right, ("o_orderkey", "batch"), "batch", ("o_totalprice",))
-    return Comparison(spark, spec).row_status_totals
+    return _compare(spark, spec).row_status_totals
 
 
 def null_key_sql() -> str:
@@ -140,6 +160,25 @@ def scaling_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.scaling_fit(spark.createDataFrame(rows, "label string, n_rows long, seconds double"))
 
 
+RUN_LOG = "('a', 1, 'RUNNING'), ('a', 5, 'COMPLETED'), ('b', 2, 'RUNNING'), ('c', 3, 'RUNNING'), ('c', 3, 'FAILED')"
+TIMINGS = "('a', 'cells', 2.0D), ('a', 'triage', 1.5D), ('a', 'cells', 0.25D), ('b', 'cells', 4.0D)"
+
+
+def latest_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each run the last event of its log; of events of one moment the start counts as the earlier."""
+    log = spark.sql(f"SELECT run_id, timestamp_seconds(moment) AS event_at, status FROM VALUES {RUN_LOG} AS t(run_id, moment, status)")
+    return latest_status(log).select("run_id", "status")
+
+
+def phase_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.phase_table(spark.sql(f"SELECT * FROM VALUES {TIMINGS} AS t(run_id, phase, seconds)"))
+
+
+def scaling_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a", 1000, 10, 2.5), ("a", 1000, 20, 4.0), ("a", 4000, 20, 15.5)]
+    return recipes.scaling_fit_by_cells(spark.createDataFrame(rows, "label string, n_rows long, n_columns long, seconds double"))
+
+
 _grouped = {"group_size": 2}
 _text = {"trim_strings": True, "lower_strings": True}
 
@@ -184,7 +223,11 @@ QUERIES: dict[str, Query] = {
     "run_drift": lambda s, d: recipes.drift(_totals(orders(s, d)), _totals(orders(s, d, later=True))),
     "latest_batches": latest_batches,
     "scaling_fit": scaling_fit,
+    "scaling_by_cells": scaling_by_cells,
+    "latest_run_status": latest_run_status,
+    "phase_pivot": phase_pivot,
 }
+QUERIES = {name: _alone(query) for name, query in QUERIES.items()}
 
 _o, _g = _orders_oracle(), _orders_oracle(grouped=True)
 _critical = ("o_totalprice", "o_orderstatus")
@@ -234,6 +277,11 @@ ORACLE_SQL: dict[str, str] = {
     "column_samples": _o.mismatch_sample(2, "o_custkey"),
     "run_drift": _drift_sql(),
     "latest_batches": f"WITH {pairs.orders_sql()} SELECT batch, CAST(count(*) AS BIGINT) AS row_count FROM l WHERE batch IN (SELECT DISTINCT batch FROM l ORDER BY batch DESC LIMIT 3) GROUP BY batch",
+    "scaling_by_cells": """SELECT label, regr_slope(s, n * c) AS slope, regr_intercept(s, n * c) AS intercept, regr_r2(s, n * c) AS r2
+FROM (VALUES ('a', 1000.0::DOUBLE, 10.0::DOUBLE, 2.5::DOUBLE), ('a', 1000.0, 20.0, 4.0), ('a', 4000.0, 20.0, 15.5)) AS t(label, n, c, s) GROUP BY label""",
+    "latest_run_status": f"SELECT run_id, arg_max(status, moment * 2 + CAST(status <> 'RUNNING' AS INT)) AS status FROM (VALUES {RUN_LOG}) AS t(run_id, moment, status) GROUP BY run_id",
+    "phase_pivot": f"""SELECT run_id, sum(seconds) FILTER (phase = 'cells') AS cells, sum(seconds) FILTER (phase = 'triage') AS triage, sum(seconds) AS total_seconds
+FROM (VALUES {TIMINGS.replace("D)", "::DOUBLE)")}) AS t(run_id, phase, seconds) GROUP BY run_id""",
     "scaling_fit": """SELECT label, regr_slope(seconds, n_rows) AS slope, regr_intercept(seconds, n_rows) AS intercept, regr_r2(seconds, n_rows) AS r2
 FROM (VALUES ('narrow', 1000.0::DOUBLE, 2.5::DOUBLE), ('narrow', 2000.0, 4.5), ('narrow', 4000.0, 8.5), ('wide', 1000.0, 3.0), ('wide', 2000.0, 7.0), ('wide', 4000.0, 11.0)) AS t(label, n_rows, seconds) GROUP BY label""",
 }

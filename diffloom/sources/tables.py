@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from diffloom.functions.canon import BATCH_TYPES, ColumnPair, pair
@@ -66,6 +65,6 @@ def column_groups(columns: Sequence[str], critical: Sequence[str], size: int) ->
 
 
 def newest_batches(df: DataFrame, batch: str, n: int) -> DataFrame:
-    """The rows of the n newest batches: the batches are found from one column and joined back."""
+    """The rows of the n newest batches: the batches are found from one column and joined back, as the planner sees fit."""
     newest = df.select(col(batch)).where(col(batch).isNotNull()).distinct().orderBy(col(batch).desc()).limit(n)
-    return on_columns(df, F.broadcast(newest) if n <= 10_000 else newest, [batch], "left_semi")
+    return on_columns(df, newest, [batch], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, time
 from pathlib import Path
 
 import duckdb
@@ -19,9 +20,9 @@ def shown(value) -> str:
         return "null"
     if isinstance(value, bool):
         return str(value)
-    if isinstance(value, (int, float)):
-        return f"{float(value):.9g}"
-    return str(value)[:10] if hasattr(value, "isoformat") else str(value)
+    if isinstance(value, float):  # sums of doubles depend on their order
+        return f"{value:.9g}"
+    return str(datetime.combine(value, time())) if type(value) is date else str(value)
 
 
 def rows_of(columns: list[str], rows) -> list[list[str]]:
