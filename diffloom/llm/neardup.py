@@ -151,27 +151,25 @@ def resolve_between(table: pa.Table, percent: int) -> pa.Table:
     return _edges(pairs)
 
 
-def groups_of(nodes: DataFrame, percent: int) -> DataFrame:
-    """(leader, leader_n, node, n) of all buckets that can hold a link. nodes: (node, n, keys), and root if they are joined in part.
+def groups_of(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(leader, node, n), leaders among them, of all buckets that can hold a link. nodes: (node, n, keys), and root if they are joined in part.
 
     Left out are buckets whose nodes are all joined, and those of two nodes
-    whose sizes rule out a link.
+    whose sizes rule out a link. The buckets that stay are a table of their own,
+    so that its join with the rows is a plain one, and is split where a bucket
+    is hot.
     """
     root = ["root"] if "root" in nodes.columns else []
     rows = nodes.select("node", F.col("n").cast("int").alias("n"), *root, F.explode("keys").alias("key"))
-    r = F.col("root") if root else F.col("node")
-    buckets = rows.groupBy("key").agg(
-        F.min(F.struct("node", "n")).alias("first"), F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("members"), F.min(r).alias("r"), F.max(r).alias("s")
-    )
+    r = root[0] if root else "node"
+    buckets = rows.groupBy("key").agg(F.min("node").alias("leader"), F.min(r).alias("r"), F.max(r).alias("s"), F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("members"))
     able = (F.col("r") < F.col("s")) & ((F.col("members") > 2) | (100 * F.col("least").cast("long") >= percent * F.col("most").cast("long")))
-    buckets = buckets.where(able).select("key", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
-    return rows.join(buckets.hint("merge"), "key").select("leader", "leader_n", "node", "n").where("leader <> node").distinct()
+    buckets = scratch(buckets.where(able).select("key", "leader"), "buckets")
+    return scratch(rows.select("node", "n", "key").join(buckets.hint("merge"), "key").select("leader", "node", "n").distinct(), "groups")
 
 
-def deal(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(leader, node, blocks, block): the groups with their leaders, in blocks of bounded size."""
-    led = pairs.select("leader", F.col("leader").alias("node"), F.col("leader_n").alias("n")).distinct()
-    members = pairs.select("leader", "node", "n").unionByName(led)
+def deal(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(leader, node, blocks, block): the groups in blocks of bounded size."""
     enough = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
     large = scratch(members.groupBy("leader").agg(enough.alias("blocks")).where("blocks > 1"), "large")
     dealt = members.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
@@ -234,7 +232,7 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
     """(a, b): enough links between nodes to give the components of all. nodes: (node, doc_id, h, digest, n, keys)."""
-    dealt = deal(scratch(groups_of(nodes.select("node", "n", "keys"), percent), "groups"), scratch)
+    dealt = deal(groups_of(nodes.select("node", "n", "keys"), percent, scratch), scratch)
     needed = nodes.select("node", "doc_id", "h", "digest").join(dealt.select("node").distinct().hint("merge"), "node")
     sets = scratch(sets_of(docs, needed, width), "sets")
     edges, wide = within(dealt, sets, percent, scratch), dealt.where("blocks > 1")
@@ -242,7 +240,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, scratch:
         return edges
     roots = components(edges, scratch)
     fine = rarest(_rooted(sets.join(wide.select("node").distinct().hint("merge"), "node"), roots), percent)
-    dealt = deal(scratch(groups_of(scratch(fine, "fine"), percent), "groups"), scratch)
+    dealt = deal(groups_of(scratch(fine, "fine"), percent, scratch), scratch)
     edges, wide = _edges_of(roots).unionByName(within(dealt, sets, percent, scratch)), dealt.where("blocks > 1")
     if wide.isEmpty():
         return edges
