@@ -274,8 +274,8 @@ def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | N
         nodes = scratch(full.join(own, "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "h", "digest", "n", "keys"), "nodes")
         roots = components(links(docs, nodes, percent, width, scratch), scratch)
         joined = scratch(classes.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        best = joined.groupBy("root").agg(F.min("best").alias("of_all"))
-        found = materialise(joined.join(best, "root").select(F.col("digest").alias("d"), "of_all"), "class-components")
+        best = scratch(joined.groupBy("root").agg(F.min("best").alias("of_all")), "best")  # apart, so that the join is a plain one and is split at a hot root
+        found = materialise(joined.join(best.hint("merge"), "root").select(F.col("digest").alias("d"), "of_all"), "class-components")
     out = signed.join(found.hint("merge"), F.col("digest") == F.col("d"), "left")
     alone = F.col("of_all").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("of_all.doc_id"))
