@@ -115,7 +115,7 @@ def detect(text: str | None) -> list[Entity]:
         return found
     # what a kind can't do without is looked for first: most texts have none of it
     there = {"email": "@" in text, "name": any(t in text for t in GENDER), "number": DIGIT.search(text) is not None}
-    if not GIVEN_WORDS.isdisjoint(re.split(r"[\s-]", text)):
+    if not GIVEN_WORDS.isdisjoint(text.replace("-", " ").split()):
         for m in UNTITLED.finditer(text):
             found += _names(m.group(1), m.start(1), GIVEN_GENDER[m.group(2)])
     for kind, pattern in PATTERNS:
