@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from rows import no_documents, odd_documents
 from test_neardup import brute
 from test_packing import check as check_packing
@@ -63,7 +64,22 @@ def test_run_is_registered(spark):
 
 
 def test_odd_and_no_rows(spark):
-    for docs in (odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars"), no_documents(spark)):
+    """With columns of the operators' own names and a map: all but the last stage return them as they came."""
+    many = spark.range(2000, numPartitions=3).selectExpr("cast(null AS long) AS doc_id", "concat('this is one of the documents that have no id of their own and it is number ', id, ' of them all') AS text")
+    odd = odd_documents(spark)
+    odd = odd.unionByName(many.withColumns({c: odd_column(c) for c in odd.columns if c not in many.columns}))
+    for docs in (odd, no_documents(spark)):
+        columns = docs.schema.simpleString()
         for name, stage in corpus_pipeline.STAGES:
             docs = materialise(stage(spark, docs, DATA), f"odd-{name}")
+            if name != "packing":
+                assert docs.schema.simpleString() == columns
+                if "row_" in docs.columns:
+                    assert docs.where("row_ <> 'mine' OR all_ <> 'mine' OR copies <> 'mine'").count() == 0 < docs.where("doc_id IS NULL").count()
     assert docs.count() == 0
+
+
+def odd_column(name):
+    if name == "a map":
+        return F.create_map(F.lit("k"), F.lit(1).cast("long"))
+    return F.lit(1).cast("long") if name == "n_chars" else F.lit("en") if name == "lang" else F.lit(None).cast("string") if name == "source" else F.lit("mine")
