@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from diffloom.functions.names import col
+
 KINDS = ("number", "text", "date", "flag")
 
 
@@ -33,14 +35,20 @@ def wide_table(spark: SparkSession, batches: int, rows: int, numbers: int = 10,
     return base.select("row_id", "batch_date", *columns)
 
 
+def mutate_table(df: DataFrame, key: str, columns: list[str], every: int, step: float = 1.0) -> DataFrame:
+    """A second version of any table: columns changed as by mutate(), in about one of `every` rows, chosen by a hash of the key."""
+    row_id = F.pmod(F.xxhash64(col(key)), F.lit(1 << 40)).alias("row_id")
+    return mutate(df.select(row_id, *(col(c) for c in df.columns)), columns, every, step).drop("row_id")
+
+
 def mutate(df: DataFrame, columns: list[str], every: int, step: float = 1.0, drop: int = 0, add: int = 0) -> DataFrame:
     """Change the columns of each row whose id is divisible by every (0: none); drop the first rows, add copies of the last under new ids.
 
     Numbers move by step, texts get a mark, dates a day, flags flip.
     """
     kinds = dict(df.dtypes)
-    moved = {"double": lambda c: c + F.lit(step), "string": lambda c: F.concat(c, F.lit("*")), "date": lambda c: F.date_add(c, 1), "boolean": lambda c: ~c}
+    moved = {"double": lambda c: c + F.lit(step), "string": lambda c: F.concat(c, F.lit("*")), "date": lambda c: F.date_add(c, 1), "boolean": lambda c: ~c, "bigint": lambda c: c + F.lit(1), "int": lambda c: c + F.lit(1)}
     hit = (F.col("row_id") % every == 0) if every else F.lit(False)
-    out = df.select(*(F.when(hit, moved[kinds[c]](F.col(c))).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
+    out = df.select(*(F.when(hit, moved[kinds[c]](col(c))).otherwise(col(c)).alias(c) if c in columns else col(c) for c in df.columns))
     added = out.where(F.col("row_id") <= add).withColumn("row_id", F.col("row_id") + 1_000_000_000)
     return out.where(F.col("row_id") > drop).unionByName(added)
