@@ -131,6 +131,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+BITS = 1 << 15  # of Spark's bitmaps
+
+
+def sieved(rows: DataFrame, by: str, keys: DataFrame, key: str, most: int = 4096) -> DataFrame:
+    """rows without most of those whose whole number `by` is no `key` of the table keys, before a join shuffles them.
+
+    The keys' hashes become a table of at most `most` bitmaps of 4 KB, 16 bits
+    a key, which is broadcast: 16 MB at most, however many keys there are. No
+    row that has a key is lost. Beyond the bound more of the others stay, and
+    where the bitmaps would hold nearly every bit, all rows do; so a join must
+    follow. Nulls go. keys should be a written table, it is read twice.
+    """
+    n = keys.count()
+    if not n:
+        return rows.where(F.lit(False))
+    maps = min(most, -(-16 * n // BITS))
+    if n > 2 * maps * BITS:
+        return rows
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(maps * BITS))
+    part, bits = fresh(rows.columns, "part_"), fresh(rows.columns, "bits_")
+    table = keys.groupBy(F.floor(slot(key) / BITS).alias(part)).agg(F.bitmap_construct_agg(slot(key) % BITS).alias(bits))
+    at = slot(by) % BITS
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.where(F.col(by).isNotNull()).join(F.broadcast(table), F.floor(slot(by) / BITS) == F.col(part))
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def n_words(text: Column) -> Column:
     """Number of words between ASCII white space; null counts as empty.
 

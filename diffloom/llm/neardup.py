@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import Scratch, fresh, materialise, sliced
+from diffloom.llm.common import Scratch, fresh, materialise, sieved, sliced
 from diffloom.llm.components import components
 from diffloom.llm.minmax import MinMax, WordHashes, shingles
 
@@ -70,7 +70,8 @@ def sets_of(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
 
     Id and hash of the text find it, so that rows which share or lack an id
     don't meet. Rows that repeat both lie side by side behind the merge join,
-    and all but the first of them are passed over.
+    and all but the first of them are passed over. Most texts aren't needed:
+    they are sieved out where they are read. needed is a written table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +86,8 @@ def sets_of(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
                 made.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(made, pa.binary())], ["node", "items"])
 
+    texts = sieved(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), "h", needed, "h")
     needed = needed.select("node", F.col("doc_id").alias("needed_id"), F.col("h").alias("needed_h"), "digest")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     texts = texts.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("needed_id")) & (F.col("h") == F.col("needed_h")))
     return texts.select("node", "digest", "text").mapInArrow(run, "node long, items binary")
 
@@ -165,7 +166,8 @@ def groups_of(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     buckets = rows.groupBy("key").agg(F.min("node").alias("leader"), F.min(r).alias("r"), F.max(r).alias("s"), F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("members"))
     able = (F.col("r") < F.col("s")) & ((F.col("members") > 2) | (100 * F.col("least").cast("long") >= percent * F.col("most").cast("long")))
     buckets = scratch(buckets.where(able).select("key", "leader"), "buckets")
-    return scratch(rows.select("node", "n", "key").join(buckets.hint("merge"), "key").select("leader", "node", "n").distinct(), "groups")
+    rows = sieved(rows.select("node", "n", "key"), "key", buckets, "key")  # few keys are shared
+    return scratch(rows.join(buckets.hint("merge"), "key").select("leader", "node", "n").distinct(), "groups")
 
 
 def deal(members: DataFrame, scratch: Scratch) -> DataFrame:
@@ -211,17 +213,20 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("node", "root", "items").mapInArrow(first, "node long, n long, root long, keys array<long>")
 
 
-def between(wide: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): links between blocks of the groups in wide (leader, node, blocks, block), whose blocks are settled in themselves."""
+def between(wide: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(a, b): links between blocks of the groups in wide (leader, node, blocks, block), whose blocks are settled in themselves; None if all are joined."""
     wide = scratch(_rooted(wide, roots), "wide")
     largest = wide.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     strays = scratch(wide.join(scratch(largest, "largest"), "leader").where("root <> main").drop("main"), "strays")
+    if strays.isEmpty():
+        return None
     chunks = scratch(strays.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_NODES)).cast("long").alias("chunks")), "chunks")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asking = strays.withColumnRenamed("block", "own").join(chunks, "leader").select(
         "leader", "node", "root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("chunk"), "own", every("blocks").alias("block"), F.lit(True).alias("asks")
     ).where("block <> own").drop("own")
     asked = wide.join(chunks, "leader").select("leader", "node", "root", every("chunks").alias("chunk"), "block", F.lit(False).alias("asks"))
+    sets = sieved(sets, "node", wide, "node")
     across = asking.unionByName(asked).join(sets.hint("merge"), "node").groupBy("leader", "block", "chunk").applyInArrow(lambda t: resolve_between(t, percent), "a long, b long")
     return scratch(across, "across")
 
@@ -230,22 +235,24 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
-    """(a, b): enough links between nodes to give the components of all. nodes: (node, doc_id, h, digest, n, keys)."""
+def joined(docs: DataFrame, nodes: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
+    """(node, root) for every node that isn't the smallest of its component. nodes: (node, doc_id, h, digest, n, keys)."""
     dealt = deal(groups_of(nodes.select("node", "n", "keys"), percent, scratch), scratch)
     needed = nodes.select("node", "doc_id", "h", "digest").join(dealt.select("node").distinct().hint("merge"), "node")
-    sets = scratch(sets_of(docs, needed, width), "sets")
-    edges, wide = within(dealt, sets, percent, scratch), dealt.where("blocks > 1")
+    sets = scratch(sets_of(docs, scratch(needed, "needed"), width), "sets")
+    roots, wide = components(within(dealt, sets, percent, scratch), scratch), dealt.where("blocks > 1")
     if wide.isEmpty():
-        return edges
-    roots = components(edges, scratch)
-    fine = rarest(_rooted(sets.join(wide.select("node").distinct().hint("merge"), "node"), roots), percent)
-    dealt = deal(groups_of(scratch(fine, "fine"), percent, scratch), scratch)
-    edges, wide = _edges_of(roots).unionByName(within(dealt, sets, percent, scratch)), dealt.where("blocks > 1")
+        return roots
+    sets = scratch(sieved(sets, "node", wide, "node").join(wide.select("node").distinct().hint("merge"), "node"), "wide-sets")
+    dealt = deal(groups_of(scratch(rarest(_rooted(sets, roots), percent), "fine"), percent, scratch), scratch)
+    if dealt.isEmpty():
+        return roots
+    edges, wide = within(dealt, sieved(sets, "node", dealt, "node"), percent, scratch), dealt.where("blocks > 1")
+    roots = components(_edges_of(roots).unionByName(edges), scratch)
     if wide.isEmpty():
-        return edges
-    roots = components(edges, scratch)
-    return _edges_of(roots).unionByName(between(wide, sets, roots, percent, scratch))
+        return roots
+    edges = between(wide, sets, roots, percent, scratch)
+    return components(_edges_of(roots).unionByName(edges), scratch) if edges is not None else roots
 
 
 def _edges_of(roots: DataFrame) -> DataFrame:
@@ -272,10 +279,10 @@ def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | N
         # the node's own row carries its keys and its id
         own = classes.select(F.col("node").alias("row")).hint("merge")
         nodes = scratch(full.join(own, "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "h", "digest", "n", "keys"), "nodes")
-        roots = components(links(docs, nodes, percent, width, scratch), scratch)
-        joined = scratch(classes.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        best = scratch(joined.groupBy("root").agg(F.min("best").alias("of_all")), "best")  # apart, so that the join is a plain one and is split at a hot root
-        found = materialise(joined.join(best.hint("merge"), "root").select(F.col("digest").alias("d"), "of_all"), "class-components")
+        roots = joined(docs, nodes, percent, width, scratch)
+        rooted = scratch(classes.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        best = scratch(rooted.groupBy("root").agg(F.min("best").alias("of_all")), "best")  # apart, so that the join is a plain one and is split at a hot root
+        found = materialise(rooted.join(best.hint("merge"), "root").select(F.col("digest").alias("d"), "of_all"), "class-components")
     out = signed.join(found.hint("merge"), F.col("digest") == F.col("d"), "left")
     alone = F.col("of_all").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("of_all.doc_id"))
