@@ -7,8 +7,8 @@
    names its smallest node as leader, and the nodes that share a leader form
    its group. Two nodes of a bucket are always together in some group.
 3. A group is dealt into blocks of bounded size. A block resolves all pairs in
-   it by an inverted index over the full sets, and reports only links that join
-   parts not joined yet, a few per node.
+   it by an inverted index over the full sets, and reports for each node the
+   smallest one it is joined with, so that components() has few rounds to go.
 4. Nodes of groups of more than one block are grouped anew, by the rarest part
    of their sets: two sets above the threshold share at least one item among
    the first of each, in any common order (the prefix filter, which is exact).
@@ -120,21 +120,19 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
 
 
 def resolve_block(table: pa.Table, percent: int) -> pa.Table:
-    """Links that join what is similar among the block's nodes (node, items): a spanning forest."""
+    """What is similar among the block's nodes (node, items), directly or by others: each node with the smallest of its part."""
     first = {node: i for i, node in reversed(list(enumerate(table.column("node").to_pylist())))}
     nodes = sorted(first)
     every = _sets(table, "items")
     sets = [every[first[node]] for node in nodes]
     index, part = Index(sets), np.arange(len(nodes))
-    pairs = []
     for i, s in enumerate(sets):
         if (part == part[i]).all():
             continue
         for j in index.links(s, percent):
             if part[j] != part[i]:
-                pairs.append((nodes[i], nodes[j]))
-                part[part == part[j]] = part[i]
-    return _edges(pairs)
+                part[part == max(part[i], part[j])] = min(part[i], part[j])
+    return _edges([(node, nodes[k]) for node, k in zip(nodes, part, strict=True) if node != nodes[k]])
 
 
 def resolve_between(table: pa.Table, percent: int) -> pa.Table:
@@ -179,7 +177,7 @@ def deal(members: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def within(dealt: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): links between nodes of a block."""
+    """(a, b): nodes of a block with the smallest that they are joined with."""
     found = dealt.select("leader", "block", "node").join(sets.hint("merge"), "node").groupBy("leader", "block").applyInArrow(lambda t: resolve_block(t, percent), "a long, b long")
     return scratch(found, "inside")
 
