@@ -272,13 +272,12 @@ def find(docs: DataFrame, percent: int = 80, width: int = 2, hashing: MinMax | N
     signed = materialise(signatures(docs, width, hashing or MinMax.of(percent), row), "signatures")
     full = signed.where("digest is not null")
     with Scratch(docs.sparkSession) as scratch:
-        classes = full.groupBy("digest").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best"))
-        classes = scratch(classes, "classes")
-        # the node's own row carries its keys and its id
-        own = classes.select(F.col("node").alias("row")).hint("merge")
-        nodes = scratch(full.join(own, "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "h", "digest", "n", "keys"), "nodes")
+        # the node is the smallest row of its class, and that row's id and keys come along, so that they aren't looked up again
+        own = F.min(F.struct("row", "doc_id", "h", "n", "keys")).alias("own")
+        classes = scratch(full.groupBy("digest").agg(own, F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best")).select(F.col("own.row").alias("node"), "digest", "best", "own.doc_id", "own.h", "own.n", "own.keys"), "classes")
+        nodes = classes.select("node", "doc_id", "h", "digest", "n", "keys")
         roots = joined(docs, nodes, percent, width, scratch)
-        rooted = scratch(classes.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        rooted = scratch(classes.select("node", "digest", "best").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         best = scratch(rooted.groupBy("root").agg(F.min("best").alias("of_all")), "best")  # apart, so that the join is a plain one and is split at a hot root
         found = materialise(rooted.join(best.hint("merge"), "root").select(F.col("digest").alias("d"), "of_all"), "class-components")
     out = signed.join(found.hint("merge"), F.col("digest") == F.col("d"), "left")
