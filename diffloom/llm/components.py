@@ -1,9 +1,11 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Only minima by node and joins with them are used, so the many neighbours of a
-hub are combined before they are shuffled or split by the skew join; no node's
-neighbours are gathered. Each round is written to the shared folder, and the
-round before it deleted.
+hub are combined before they are shuffled; no node's neighbours are gathered.
+Each edge goes from a larger node to a smaller one. The large star moves its
+end to the end's own smallest neighbour, found in a table of its own, so that
+the join is a plain one and is split at a hub. Each round is written to the
+shared folder, and the round before it deleted.
 """
 
 from __future__ import annotations
@@ -23,20 +25,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _stars(now):
         before = now
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # here each a is larger than its b
-        large = large.distinct()
-        least = _least(large)
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = scratch(now, "stars")
+        least = scratch(_least(now), "least")
+        large = now.join(least.select(F.col("a").alias("b"), "m"), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        own = _least(large)
+        small = large.join(own, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = scratch(small.unionByName(own.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        scratch.drop(least)
         scratch.drop(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return edges.groupBy("a").agg(F.min("b").alias("m"))
 
 
 def _stars(edges: DataFrame) -> bool:
